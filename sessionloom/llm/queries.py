@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import table
-from . import runs
+from ..operators import unnest
+from . import formatting, runs
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,5 +17,14 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.runs(table(spark, d, "stress_turns"), table(spark, d, "tool_families"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs}
+def results(spark: SparkSession, d: str) -> DataFrame:
+    """(tool_use_id, content) of all tool results of both tables."""
+    return unnest.tool_results(table(spark, d, "stress_turns"), table(spark, d, "replay_records"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return formatting.copies(results(spark, d))
+
+
+QUERIES = {"p5_found": p5_found, "p3_found": p3_found, "p3_runs": p3_runs}
 ORACLES: dict[str, str] = {}
