@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import table
 from ..operators import unnest
-from . import formatting, runs
+from . import formatting, neardup, runs
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,5 +26,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.copies(results(spark, d))
 
 
-QUERIES = {"p5_found": p5_found, "p3_found": p3_found, "p3_runs": p3_runs}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(results(spark, d))
+
+
+QUERIES = {"p6_found": p6_found, "p5_found": p5_found, "p3_found": p3_found, "p3_runs": p3_runs}
 ORACLES: dict[str, str] = {}
