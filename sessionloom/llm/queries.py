@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import table
 from ..operators import unnest
-from . import formatting, neardup, runs
+from . import formatting, neardup, runs, spans
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,5 +30,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(results(spark, d))
 
 
-QUERIES = {"p6_found": p6_found, "p5_found": p5_found, "p3_found": p3_found, "p3_runs": p3_runs}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.spans(results(spark, d))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shares(results(spark, d), spans.spans(results(spark, d)))
+
+
+QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p5_found": p5_found, "p3_found": p3_found, "p3_runs": p3_runs}
 ORACLES: dict[str, str] = {}
