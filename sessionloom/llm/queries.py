@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import table
 from ..operators import unnest
-from . import formatting, neardup, runs, spans
+from . import formatting, neardup, runs, spans, truncation
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,5 +38,13 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(results(spark, d), spans.spans(results(spark, d)))
 
 
-QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p5_found": p5_found, "p3_found": p3_found, "p3_runs": p3_runs}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p5_found": p5_found, "p3_found": p3_found, "p3_runs": p3_runs}
 ORACLES: dict[str, str] = {}
