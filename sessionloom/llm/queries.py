@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import table
 from ..operators import unnest
-from . import formatting, neardup, runs, spans, truncation
+from . import formatting, mixing, neardup, packing, runs, spans, tokens, truncation
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,5 +47,23 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p5_found": p5_found, "p3_found": p3_found, "p3_runs": p3_runs}
+def p7_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The contents of the windows, for every capacity."""
+    return packing.windows(tokens.sizes(table(spark, d, "documents"), "doc_id"), table(spark, d, "context_windows"))
+
+
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing.unused(p7_windows(spark, d), table(spark, d, "context_windows"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    keyed = table(spark, d, "documents").withColumn("text_key", F.md5("text"))
+    return mixing.mix(tokens.sizes(keyed, "doc_id", "source", "text_key"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+QUERIES = {"p7_windows": p7_windows, "p7_unused": p7_unused, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p5_found": p5_found, "p3_found": p3_found, "p3_runs": p3_runs}
 ORACLES: dict[str, str] = {}
