@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import drift, ledger, messages, unnest
 from ..operators.drift import ALIASES, TRACKED, UNITS
 from ..sources import table
+from . import message_sql
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +120,7 @@ def _sql(body: str, *parts: str) -> str:
 
 _SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in ledger.COUNTERS)
 _RUNS = "WITH runs AS (SELECT l_returnflag AS lane, strftime(l_shipdate, '%Y-%m') AS task, l_quantity AS value, l_discount > 0.05 AS success FROM lineitem)"
-ORACLES = {
+ORACLES = message_sql.ORACLES | {
     "p1_found": _sql(
         """SELECT file_id, field, change FROM (SELECT file_id, field, unnest([CASE WHEN present AND NOT was THEN 'added' END, CASE WHEN NOT present AND was THEN 'removed' END,
         CASE WHEN present AND was AND name <> old THEN 'renamed' END, CASE WHEN present AND was AND kind <> old_kind THEN 'retyped' END]) AS change FROM (SELECT *, lag(present) OVER w AS was, lag(name) OVER w AS old, lag(kind) OVER w AS old_kind FROM g
