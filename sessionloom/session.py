@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +38,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionloom-"))
     return df.checkpoint(eager)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files that only cut lineages referred to: its cleaner waits for a collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """spark, with the package's place on the path of its Python workers, for a session that was built elsewhere."""
+    root, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
