@@ -66,4 +66,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p7_windows": p7_windows, "p7_unused": p7_unused, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p5_found": p5_found, "p3_found": p3_found, "p3_runs": p3_runs}
-ORACLES: dict[str, str] = {}
+_FAMILY = "regexp_replace(lower(regexp_replace(trim({}), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g')"
+_RUNS = f"""WITH t AS (SELECT * FROM stress_turns QUALIFY row_number() OVER (PARTITION BY session_id, turn_index ORDER BY ingest_id) = 1),
+u AS (SELECT session_id, turn_index AS turn, recorded_at AS tm, workspace_root, unnest(tool_uses) AS u, unnest(range(len(tool_uses)))::INT AS pos FROM t),
+p AS (SELECT *, u.name AS name, regexp_replace(replace(trim(coalesce(u.input['path'], u.input['file_path'])), '\\', '/'), '^file://', '') AS p FROM u),
+q AS (SELECT *, CASE WHEN starts_with(p, '/') THEN p ELSE workspace_root || '/' || p END AS q FROM p),
+v AS (SELECT session_id, turn, pos, tm, CASE WHEN name IS NOT NULL AND p <> '' THEN coalesce(family, 'x' || {_FAMILY.format('name')}) || ' ' || regexp_replace(regexp_replace(regexp_replace(q, '/+', '/', 'g'), '/(\\./)+', '/', 'g'), '[^/]+/\\.\\./', '', 'g') END AS v
+  FROM q LEFT JOIN tool_families ON {_FAMILY.format('tool_name')} = {_FAMILY.format('name')}),
+i AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, pos) - row_number() OVER (PARTITION BY session_id, v ORDER BY turn, pos) AS i FROM v),
+r AS (SELECT session_id, min((turn, pos)) AS a, max((turn, pos)) AS b, count(*) AS n_uses, min(tm) AS started_at, max(tm) AS ended_at FROM i WHERE v IS NOT NULL GROUP BY session_id, v, i HAVING count(*) > 1)
+SELECT session_id, a[1] AS first_turn, a[2] AS first_pos, b[1] AS last_turn, b[2] AS last_pos"""
+ORACLES: dict[str, str] = {
+    "p3_found": f"{_RUNS} FROM r",
+    "p3_runs": f"{_RUNS}, n_uses, started_at, ended_at, (epoch_us(ended_at) - epoch_us(started_at)) / 1e6 AS seconds FROM r",
+}
