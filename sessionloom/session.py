@@ -28,15 +28,17 @@ def build(app: str = "sessionloom", master: str | None = None, **conf: str) -> S
     return builder.config(map=settings).getOrCreate()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the cluster's shared folder.
-
-    The folder is spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is taken.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionloom-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
