@@ -63,6 +63,7 @@ class Index:
             h *= 2
         self.sa = order
         self._lcp(levels, apart)
+        del levels, rank, key, apart, fresh, starts, open_, ended  # the largest arrays, before the others are made
         self._parents()
         self._wavelet(code[order - 1])
         doc = owner[order]
@@ -70,8 +71,8 @@ class Index:
         self.other = change[np.searchsorted(change, np.arange(n), side="right")].astype(np.int32)
 
     def _lcp(self, levels: list[tuple[int, np.ndarray]], apart: np.ndarray) -> None:
-        n, same = self.n, np.zeros(self.n - 1, np.int64)
-        a, b = self.sa[:-1], self.sa[1:]
+        n, same = self.n, np.zeros(self.n - 1, np.int32)
+        a, b = self.sa[:-1].astype(np.int32), self.sa[1:].astype(np.int32)
         least = levels[0][0]
         while least > 1:
             least //= 2
@@ -80,7 +81,7 @@ class Index:
         for h, rank in reversed(levels):
             x, y = a + same, b + same
             inside = (x < n) & (y < n)
-            same += h * (inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]))
+            same += np.int32(h) * (inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]))
         self.lcp = np.concatenate([[-1], same, [-1]]).astype(np.int32)
 
     def _parents(self) -> None:

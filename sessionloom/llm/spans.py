@@ -34,7 +34,7 @@ from .fmindex import shared_stretches
 from .words import chunks, mix, points, powers
 
 LEAST, PROBE = 240, 32
-SHARD = 3_000_000
+SHARD = 1_500_000
 
 
 def _gram_hashes(code: np.ndarray, k: int) -> np.ndarray:
