@@ -38,15 +38,33 @@ def _turns(pdf: pd.DataFrame) -> list[tuple[int, list[str]]]:
 
 
 def remembered(values: DataFrame) -> DataFrame:
-    """Final memory of each session from (session_id, turn, value); one session's values are one group, its memory is bounded by CAP."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, list[int]] = {}
-        durable: dict[str, list[int]] = {}
-        fold(state, durable, _turns(pdf))
-        return rows(pdf["session_id"].iloc[0], state, durable)
-
-    return values.select("session_id", "turn", "value").distinct().groupBy("session_id").applyInPandas(run, SCHEMA)
+    """Final memory of each session from (session_id, turn, value).
+
+    Rows pass through the fold in order, sorted by Spark within partitions of whole sessions: a task holds one turn
+    and one session's bounded memory, never a session's rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session = turn = None
+        held: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+        waiting: list[str] = []
+        for batch in batches:
+            for s, t, v in zip(batch["session_id"], batch["turn"], batch["value"]):
+                if (s, t) != (session, turn) and turn is not None:
+                    fold(*held, [(turn, waiting)])
+                    waiting = []
+                    if s != session:
+                        yield rows(session, *held)
+                        held = ({}, {})
+                session, turn = s, int(t)
+                if isinstance(v, str):
+                    waiting.append(v)
+        if turn is not None:
+            fold(*held, [(turn, waiting)])
+            yield rows(session, *held)
+
+    ordered = values.select("session_id", "turn", "value").filter("session_id is not null and turn is not null").repartition("session_id").sortWithinPartitions("session_id", "turn")
+    return ordered.mapInPandas(run, SCHEMA)
 
 
 def stream(values: DataFrame) -> DataFrame:
