@@ -10,10 +10,10 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
-from sessionloom.plans import ledger, problems, sessions, texts
+from sessionloom.plans import evidence, ledger, problems, sessions, texts
 
-CORE = problems.ORACLES | sessions.ORACLES | ledger.ORACLES | texts.ORACLES
-QUERIES = problems.QUERIES | sessions.QUERIES | ledger.QUERIES | texts.QUERIES
+CORE = problems.ORACLES | sessions.ORACLES | ledger.ORACLES | texts.ORACLES | evidence.ORACLES
+QUERIES = problems.QUERIES | sessions.QUERIES | ledger.QUERIES | texts.QUERIES | evidence.QUERIES
 
 
 def plain(v):
