@@ -18,14 +18,19 @@ def components(links: DataFrame) -> DataFrame:
     links = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _each(links, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = _each(large.join(low, "u"), ("v", "m"), ("u", "m"))
         links = cut(small.filter("u <> v").distinct())
         after = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if before == after:
             break
         before = after
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return _each(links, ("u", "v"), ("v", "v")).toDF("node", "root").distinct()
+
+
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """A row (u, v) of each pair of columns of each row, in one pass."""
+    return rows.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")).select("e.u", "e.v")

@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import cut
+from ..session import cut, release
 from .components import components
+from .semijoin import sifted
 from .words import chunks, mix, shingle_sets
 
 SYMBOLS, BLOCKS = 32, 8
 LEAST, WORDS, THRESHOLD = 80, 3, 0.7
-SMALL = 48
+SMALL, BLOCK = 48, 512
 HOT_KEYS, HOT_ROWS, SAMPLE = 10_000, 200_000, 64
 
 
@@ -83,7 +84,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), vector], names=["tool_use_id", "node", "node2", "vector"])
 
 
-_SETS = "tool_use_id string, shingles array<bigint>"
+_SETS = "tool_use_id string, shingles array<int>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in chunks(texts):
             hashes, counts = shingle_sets(texts[a:b], WORDS)
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], names=["tool_use_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([ids[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))], names=["tool_use_id", "shingles"])
 
 
 def _signatures(classes: DataFrame) -> DataFrame:
@@ -120,6 +121,15 @@ def buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return signatures.select("key", "node", F.count("*").over(own).alias("n"), F.min("node").over(own).alias("first")).filter("n > 1"), hot
 
 
+def _pairs(found: DataFrame) -> DataFrame:
+    """(a, b, crowd): all pairs of small buckets, those with the first class in crowded ones, with their key; one pass over the buckets."""
+    crowded = F.col("n") > SMALL
+    rows = found.groupBy("key", "first", crowded.alias("crowded"), F.when(crowded, F.col("node")).alias("alone")).agg(F.sort_array(F.collect_list("node")).alias("m"))
+    within = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    star = F.filter(F.transform("m", lambda y: F.struct(F.col("first").alias("a"), y.alias("b"))), lambda p: p["a"] != p["b"])
+    return rows.select(F.explode(F.when(F.col("crowded"), star).otherwise(within)).alias("p"), F.when(F.col("crowded"), F.col("key")).alias("crowd")).select("p.a", "p.b", "crowd")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: first within the covered radius, then exactly."""
     vectors = classes.select("node", "vector")
@@ -131,8 +141,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, contents: DataFrame, thresho
     )
     close = cut(close)
     nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.join(classes.select("node", "tool_use_id"), "node")
-    sets = contents.join(ids, "tool_use_id").select("tool_use_id", "content").mapInArrow(_sets, _SETS).dropDuplicates(["tool_use_id"]).join(ids, "tool_use_id").select("node", "shingles")
+    ids = cut(nodes.join(classes.select("node", "tool_use_id"), "node"))
+    sets = sifted(contents, ids, "tool_use_id", ["content"], _sets, _SETS).join(ids, "tool_use_id").select("node", "shingles").dropDuplicates(["node"])
+    sets = cut(sets)
     both = close.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= threshold * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
@@ -140,36 +151,55 @@ def _verified(pairs: DataFrame, classes: DataFrame, contents: DataFrame, thresho
 
 def groups(results: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(keep_id, member_id) of near-duplicate contents, from (tool_use_id, content)."""
-    long = results.select("tool_use_id", "content").filter(F.length("content") >= least)
+    long = results.select("tool_use_id", "content").filter((F.length("content") >= least) & F.col("tool_use_id").isNotNull())
     prints = cut(long.mapInArrow(_prints, _PRINTS))
     ids = prints.select("tool_use_id", "node", "node2").dropDuplicates(["tool_use_id"])
     classes = cut(prints.groupBy("node").agg(F.min("tool_use_id").alias("tool_use_id"), F.first("vector").alias("vector")))
     found, hot = buckets(classes)
-    small = found.filter(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
-    pairs = small.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    large = found.filter((F.col("n") > SMALL) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    pairs = pairs.unionByName(large)
+    pairs = _pairs(found)
     if hot is not None:
-        pairs = pairs.unionByName(_signatures(classes).join(F.broadcast(hot), "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
-    links = cut(_verified(pairs.distinct(), classes, long, threshold))
+        star = _signatures(classes).join(F.broadcast(hot), "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("key").alias("crowd"))
+        pairs = pairs.unionByName(star)
+    # collect_set: a pair meets at most once in each table
+    pairs = cut(pairs.groupBy("a", "b").agg(F.collect_set("crowd").alias("crowds")))
+    release(results.sparkSession)
+    links = cut(_verified(pairs.select("a", "b"), classes, long, threshold))
+    release(results.sparkSession)
     roots = components(links)
-    if hot is not None or not found.filter(F.col("n") > SMALL).isEmpty():
-        crowded = found.filter(F.col("n") > SMALL).select("key", "node")
-        if hot is not None:
-            crowded = crowded.unionByName(_signatures(classes).join(F.broadcast(hot.select("key")), "key"))
-        more = _verified(_across(crowded, roots), classes, long, threshold)
-        roots = components(links.unionByName(more))
+    crowded = pairs.filter("size(crowds) > 0")
+    if not crowded.isEmpty():
+        members = crowded.select(F.explode("crowds").alias("key"), "a", "b").select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+        across = cut(_across(members, roots, classes))
+        if not across.isEmpty():
+            roots = components(links.unionByName(_verified(across, classes, long, threshold)))
     label = ids.join(roots, ids["node"] == roots["node"], "left").select("tool_use_id", F.coalesce("root", ids["node"]).alias("root"))
     kept = label.groupBy("root").agg(F.min("tool_use_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return label.join(kept, "root").filter("tool_use_id <> keep_id").select("keep_id", F.col("tool_use_id").alias("member_id"))
 
 
-def _across(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of each crowded bucket, the pairs between groups: the members outside its largest group against those of other groups."""
+def _across(crowded: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each crowded bucket, the pairs within the covered radius between different groups.
+
+    The members outside a bucket's largest group are compared, in blocks, with the members of other groups; only
+    pairs within the radius leave the task.
+    """
     labelled = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-    rows = labelled.join(main.select("key", "main"), "key")
-    asking = rows.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    met = asking.join(rows.select("key", F.col("node").alias("y"), F.col("root").alias("ry")), "key").filter("rx <> ry")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = labelled.join(main.select("key", "main"), "key").join(classes.select("node", "vector"), "node")
+
+    def near(table: pa.Table) -> pa.Table:
+        node, root, main = (table.column(c).to_numpy() for c in ("node", "root", "main"))
+        vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SYMBOLS)
+        asking, found = np.flatnonzero(root != main), []
+        for k in range(0, asking.size, BLOCK):
+            part = asking[k : k + BLOCK]
+            same = np.zeros((part.size, node.size), np.int8)
+            for t in range(SYMBOLS):
+                same += vectors[part, t][:, None] == vectors[:, t][None, :]
+            x, y = np.nonzero((same > BLOCKS) & (root[part][:, None] != root[None, :]))
+            found.append(np.stack([node[part[x]], node[y]]))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return rows.groupBy("key").applyInArrow(near, "a bigint, b bigint").distinct()
