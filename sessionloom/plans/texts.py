@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import codecs, memory, structure
+from ..operators import codecs, folds, memory, structure
 from ..operators import events as E
 from ..sources import table
 from ..streaming import windows
@@ -65,6 +65,8 @@ QUERIES = {
     "codec_pass": _events(codecs.passed),
     "reread_diffs": _events(codecs.reread_diffs),
     "memory_decay": memory_decay,
+    "result_cache_expiry": _events(folds.cache_outcomes),
+    "hint_cooldown": lambda spark, d: folds.cooled(E.signals(table(spark, d, "stress_turns")).select("session_id", F.col("signal").alias("hint"), "turn")),
     "event_sessions": batch_sessions,
     "stream_tumbling": stream_tumbling,
     "stream_deduplicated": stream_deduplicated,
