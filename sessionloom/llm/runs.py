@@ -47,7 +47,7 @@ def values(turns: DataFrame, families: DataFrame, stretch: int = STRETCH) -> Dat
 
     families is broadcast as a map literal of its bounded rows: it lists tools, not data.
     """
-    rows = families.select(tool_key(F.col("tool_name")), F.col("family")).limit(10_001).collect()
+    rows = families.filter("tool_name is not null and family is not null").select(tool_key(F.col("tool_name")), F.col("family")).limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("families lists more than 10000 tools")
     known = F.create_map(*[F.lit(x) for r in dict(map(tuple, rows)).items() for x in r]) if rows else F.expr("cast(map() as map<string,string>)")

@@ -51,10 +51,10 @@ def is_alnum(code: np.ndarray) -> np.ndarray:
 
 
 def chunks(texts: list[str], most: int = CHUNK):
-    """Index ranges of texts whose lengths sum to about `most` characters, so that memory stays bounded; texts are never split."""
+    """Index ranges of texts whose lengths sum to about `most` characters, so that memory stays bounded; at most 50000 texts, never split ones."""
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+        if size and (size + len(t) > most or i - start >= 50_000):
             yield start, i
             start, size = i, 0
         size += len(t)
