@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import components
+from .semijoin import sifted
 
 LEAST = 80
 _MOD = 1 << 128
@@ -164,9 +165,9 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copies(results: DataFrame, least: int = LEAST) -> DataFrame:
     """(keep_id, copy_id) of contents that differ in formatting only, from (tool_use_id, content)."""
-    long = results.select("tool_use_id", "content").filter(F.length("content") >= least)
+    long = results.select("tool_use_id", "content").filter((F.length("content") >= least) & F.col("tool_use_id").isNotNull())
     prints = cut(long.mapInArrow(_prints, _PRINTS).dropDuplicates(["tool_use_id"]))
-    prints = verified(prints, long)
+    prints = cut(verified(prints, long))
     several = prints.groupBy("straight").agg(F.min("member").alias("a"), F.max("member").alias("b")).filter("a <> b")
     if not several.isEmpty():
         links = prints.join(several.select("straight", "a"), "straight").filter("member <> a").select(F.col("a"), F.col("member").alias("b")).distinct()
@@ -182,8 +183,8 @@ def verified(prints: DataFrame, contents: DataFrame) -> DataFrame:
     """
     forms = prints.groupBy("member", "form").agg(F.min("tool_use_id").alias("tool_use_id"))
     firsts = forms.groupBy("member").agg(F.min("tool_use_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    wanted = forms.join(firsts, "member")
-    texts = wanted.join(contents, "tool_use_id").dropDuplicates(["tool_use_id"])
+    wanted = cut(forms.join(firsts, "member"))
+    texts = wanted.join(sifted(contents, wanted, "tool_use_id", ["content"]), "tool_use_id").dropDuplicates(["tool_use_id"])
     first = texts.filter("tool_use_id = first_id").select("member", F.col("content").alias("first_content"))
 
     @F.pandas_udf("boolean")
