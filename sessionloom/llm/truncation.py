@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-SAMPLE, BITS, EPOCHS, NEAR, CUT_AT = 16_000, 20, 6, 24, 0.5
+SAMPLE, BITS, EPOCHS, NEAR, CUT_AT, SOURCES = 16_000, 20, 6, 24, 0.5, 10_000
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _LOG = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:")
 _MARK = re.compile(r"(…|\.\.\.|\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|<truncated>|\(truncated\)|\[truncated\])\s*$", re.I)
@@ -44,8 +44,8 @@ _CLOSED = frozenset(".!?。！？}`\"”»")
 
 def limits(documents: DataFrame, least: int = 5, factor: float = 6.0, around: int = 64) -> DataFrame:
     """(source, chars array<int>, bytes array<int>): lengths that at least `least` texts have, `factor` times as many as lengths around."""
-    once = documents.filter("text is not null and text <> ''").select("source", "text").withColumn("h", F.xxhash64("text")).dropDuplicates(["source", "h"])
-    sizes = once.select("source", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.length("text").alias("n")), F.struct(F.lit("b").alias("unit"), F.octet_length("text").alias("n")))).alias("e")).select("source", "e.*")
+    once = documents.filter("text is not null and text <> ''").select("source", F.xxhash64("text").alias("h"), F.length("text").alias("c"), F.octet_length("text").alias("b")).dropDuplicates(["source", "h"])
+    sizes = once.select("source", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("c").alias("n")), F.struct(F.lit("b").alias("unit"), F.col("b").alias("n")))).alias("e")).select("source", "e.*")
     counts = sizes.groupBy("source", "unit", "n").agg(F.count("*").alias("k"))
     near = W.partitionBy("source", "unit").orderBy("n").rangeBetween(-around, around)
     peaks = counts.withColumn("rest", (F.sum("k").over(near) - F.col("k")) / (2 * around)).filter((F.col("k") >= least) & (F.col("k") > factor * F.greatest("rest", F.lit(0.3))))
@@ -259,8 +259,12 @@ def fit(rows: list[tuple[str, list[int] | None, list[int] | None]], epochs: int
 
 
 def _with_limits(documents: DataFrame) -> DataFrame:
-    d = documents.select("doc_id", "text", "source")
+    """documents with their source's limits, which are broadcast where at most SOURCES sources have some."""
+    d, spark = documents.select("doc_id", "text", "source"), documents.sparkSession
     known = limits(d).withColumnRenamed("source", "limited")
+    rows = known.limit(SOURCES + 1).collect()
+    if len(rows) <= SOURCES:
+        known = F.broadcast(spark.createDataFrame(rows, "limited string, chars array<int>, bytes array<int>"))
     return d.join(known, F.col("source").eqNullSafe(F.col("limited")), "left").drop("limited")
 
 
@@ -279,7 +283,8 @@ def trained(prepared: DataFrame, sample: int = SAMPLE) -> bytes:
         small.counts, small.common = Counter({k: n for k, n in m.words.counts.items() if n > 1}), m.words.common
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((dict(small.counts), small.common, m.weights.astype(np.float32), m.bias))], pa.binary())], names=["model"])
 
-    return bytes(chosen.mapInArrow(run, "model binary").first()[0])
+    fitted = chosen.mapInArrow(run, "model binary").first()
+    return bytes(fitted[0]) if fitted else pickle.dumps(({}, 8, np.zeros(1 << BITS, np.float32), -30.0))
 
 
 def _load(blob: bytes) -> Model:
