@@ -278,6 +278,7 @@ def trained(prepared: DataFrame, sample: int = SAMPLE) -> bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        rows.sort(key=lambda r: (crc32(r[0].encode("utf-8", "surrogatepass")), r[0]))  # one order, however the sample arrived
         m = fit(rows)
         small = Vocabulary()
         small.counts, small.common = Counter({k: n for k, n in m.words.counts.items() if n > 1}), m.words.common
