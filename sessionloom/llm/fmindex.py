@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LANE = 1500
+LANE = 500
 
 
 def _next_separator(code: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ class Index:
 
     def _wavelet(self, bwt: np.ndarray) -> None:
         n, words = self.n, self.n // 64 + 1
-        self.words, self.ones, self.zeros = [], [], []
+        self.words, self.ones, self.zeros, self.branch = [], [], [], []
         symbols = np.arange(1 << self.bits)
         start = np.zeros(1 << self.bits, np.int64)
         now = bwt
@@ -110,7 +110,8 @@ class Index:
             self.words.append(packed)
             self.ones.append(ones)
             self.zeros.append(n - int(bit.sum()))
-            start = self._down(len(self.words) - 1, start, ((symbols >> level) & 1).astype(bool))
+            self.branch.append(((symbols >> level) & 1).astype(bool))
+            start = self._down(len(self.words) - 1, start, self.branch[-1])
             now = np.concatenate([now[bit == 0], now[bit == 1]])
         counts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=1 << self.bits))[:-1]])
         self.offset = (counts - start).astype(np.int64)
@@ -119,14 +120,15 @@ class Index:
 
     def _down(self, level: int, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
         word = at >> 6
-        ones = self.ones[level][word] + np.bitwise_count(self.words[level][word] & self._BELOW[at & 63])
+        ones = self.ones[level].take(word)
+        ones += np.bitwise_count(self.words[level].take(word) & self._BELOW.take(at & 63))
         return np.where(bit, ones + self.zeros[level], at - ones)
 
     def extend(self, symbol: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search step: the intervals of symbol + match."""
         at, both = np.concatenate([left, right]).astype(np.int64), np.concatenate([symbol, symbol])
         for k in range(self.bits):
-            at = self._down(k, at, ((both >> (self.bits - 1 - k)) & 1).astype(bool))
+            at = self._down(k, at, self.branch[k][both])
         at += self.offset[both]
         return at[: symbol.size], at[symbol.size :]
 

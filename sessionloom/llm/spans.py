@@ -144,7 +144,7 @@ def _labelled(shared: DataFrame, rounds: int = 2) -> DataFrame:
 def spans(results: DataFrame) -> DataFrame:
     """(tool_use_id, span_start, span_end) of the maximal shared stretches, from (tool_use_id, content)."""
     spark = results.sparkSession
-    long = results.select("tool_use_id", "content").filter(F.length("content") >= LEAST)
+    long = results.select("tool_use_id", "content").filter((F.length("content") >= LEAST) & F.col("tool_use_id").isNotNull())
     prints = cut(long.mapInArrow(_prints, _PRINTS))
     nodes = prints.groupBy("node").agg(F.min("tool_use_id").alias("tool_use_id"), F.max("tool_use_id").alias("last_id"), F.first("size").alias("size"), F.first("anchors").alias("anchors"), F.first("positions").alias("positions"))
     marks = nodes.select("node", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("positions").alias("pos"))))
