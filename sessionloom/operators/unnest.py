@@ -15,11 +15,11 @@ deep or long payloads are walked without recursion limits other than the JSON pa
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Triple = tuple[str, tuple[int, ...], Any]
@@ -85,16 +85,20 @@ def grouped(found: Iterable[Triple], ancestors: Iterable[str]) -> dict[str, dict
 MESSAGES, CONTENT, ITEMS = "messages[]", "messages[].content[]", "messages[].content[].content[]"
 
 
-def conversation(payload: str | None) -> dict[str, dict[tuple[int, ...], dict[str, Any]]] | None:
-    """messages, blocks and items of one payload as pivoted tables, None when it is damaged."""
+def document(payload: str | None) -> dict[str, list] | None:
+    """The messages of one payload, a bare message as the only one; None when it is damaged."""
     doc = parse(payload)
     if not isinstance(doc, dict):
         return None
     if isinstance(doc.get("messages"), list):
-        doc = {"messages": doc["messages"]}
-    elif "role" in doc or "content" in doc:
-        doc = {"messages": [doc]}
-    else:
+        return {"messages": doc["messages"]}
+    return {"messages": [doc]} if "role" in doc or "content" in doc else None
+
+
+def conversation(payload: str | None) -> dict[str, dict[tuple[int, ...], dict[str, Any]]] | None:
+    """messages, blocks and items of one payload as pivoted tables, None when it is damaged."""
+    doc = document(payload)
+    if doc is None:
         return None
     found = grouped(triples(doc), (MESSAGES, CONTENT, ITEMS))
     found[MESSAGES].pop((), None)
@@ -151,71 +155,198 @@ def result_text(row: dict[str, Any], items: Iterable[dict[str, Any]]) -> str | N
 
 _BLOCK = "msg_pos int, block_pos int, sub_pos int, call_msg_pos int, call_block_pos int, role string, type string, id string, tool_use_id string, name string, body string"
 _BLOCK_FIELDS = ("msg_pos", "block_pos", "sub_pos", "call_msg_pos", "call_block_pos", "role", "type", "id", "tool_use_id", "name", "body")
-_ARROW = {"int": pa.int32(), "string": pa.string()}
-_BLOCK_TYPES = [_ARROW[x.split()[1]] for x in _BLOCK.split(", ")]
+_MESSAGE = "msg_pos int, role string, tool_use_id string, content_kind string, n_blocks int"
+_RESULT = "msg_pos int, block_pos int, call_msg_pos int, call_block_pos int, tool_use_id string, content string"
+_MEMBER = "msg_pos int, block_pos int, sub_pos int, member string, positions array<int>, kind string, value string"
+_ARROW = {"int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+_BODY = ("text", "thinking", "content", "")
+
+
+def _kind(value: Any) -> str:
+    """JSON's name of a value's type."""
+    if isinstance(value, (str, bool)) or value is None:
+        return "string" if isinstance(value, str) else "null" if value is None else "boolean"
+    return "object" if isinstance(value, (dict, frozenset)) else "array" if isinstance(value, (list, tuple)) else "number"
+
+
+def _message_rows(payload: str | None) -> list[tuple] | None:
+    tables, doc = conversation(payload), document(payload)
+    if tables is None or doc is None:
+        return None
+    n: dict[int, int] = {}
+    for at in tables["blocks"]:
+        n[at[0]] = n.get(at[0], 0) + 1
+    raw = [x if isinstance(x, dict) else {} for x in doc["messages"]]
+    return [(m, _text(row.get("role")), _text(row.get("tool_use_id")), _kind(raw[m]["content"]) if "content" in raw[m] else None, n.get(m, 0)) for (m,), row in tables["messages"].items()]
 
 
-def _rows(payload: str | None, bodies: bool) -> list[tuple] | None:
+def _result_rows(payload: str | None) -> list[tuple] | None:
+    tables = conversation(payload)
+    if tables is None:
+        return None
+    items: dict[tuple[int, ...], list[dict[str, Any]]] = {}
+    for at, row in sorted(tables["items"].items()):
+        items.setdefault(at[:2], []).append(row)
+    return [(*at, *call, _text(tables["blocks"][at].get("tool_use_id")), result_text(tables["blocks"][at], items.get(at, ()))) for at, call in linked(tables["blocks"]).items()]
+
+
+def _member_rows(payload: str | None) -> list[tuple] | None:
+    """The leaves of messages, blocks and items that have no column in their tables."""
+    doc = document(payload)
+    if doc is None:
+        return None
+    out: list[tuple] = []
+
+    def leaves(at: tuple[int, int, int], value: Any, columns: Iterable[str]) -> None:
+        if isinstance(value, dict):
+            if not (value := {k: v for k, v in value.items() if k not in columns}):
+                return
+        elif not isinstance(value, list):
+            return
+        out.extend((*at, path, list(o), _kind(v), _text(v)) for path, o, v in triples(value))
+
+    def element(at: tuple[int, int, int], value: Any) -> None:
+        columns = {"type", "id", "tool_use_id", "name"}
+        if isinstance(value, dict):
+            columns = {k for k in columns if not isinstance(value.get(k), (dict, list))}
+            body = next((k for k in _BODY if k in value and (not isinstance(value[k], (dict, list)) or not value[k])), None)
+            result = value.get("type") == "tool_result" and at[2] < 0 and isinstance(value.get("content"), list)
+            leaves(at, value, columns | ({body} if body is not None else set()) | ({"content"} if result else set()))
+            for i, item in enumerate(value["content"] if result else ()):
+                element((at[0], at[1], i), item)
+        else:
+            leaves(at, value, ())
+
+    for m, message in enumerate(doc["messages"]):
+        content = message.get("content") if isinstance(message, dict) else None
+        own = {k for k in ("role", "tool_use_id") if isinstance(message, dict) and not isinstance(message.get(k), (dict, list))}
+        leaves((m, -1, -1), message, own | (set() if isinstance(content, (dict, bool, int, float)) else {"content"}))
+        for b, block in enumerate(content if isinstance(content, list) else ()):
+            element((m, 0, b) if message.get("role") == "tool_result" else (m, b, -1), block)
+    return out
+
+
+def _rows(payload: str | None, bodies: bool, messages: bool = False) -> list[tuple] | None:
     tables = conversation(payload)
     if tables is None:
         return None
     calls = linked(tables["blocks"])
     roles = {m: _text(row.get("role")) for (m,), row in tables["messages"].items()}
-    out = []
+    out = [(m, -1, -1, -1, -1, role, None, None, None, None, None) for m, role in roles.items()] if messages else []
     for source, table in (("blocks", tables["blocks"]), ("items", tables["items"])):
         for at, row in table.items():
             call = calls.get(at[:2], (-1, -1))
-            body = next((_text(row[k]) for k in ("text", "thinking", "content", "") if k in row), None) if bodies else None
+            body = next((_text(row[k]) for k in _BODY if k in row), None) if bodies else None
             out.append((at[0], at[1], at[2] if source == "items" else -1, *call, roles.get(at[0]), *(_text(row.get(k)) for k in ("type", "id", "tool_use_id", "name")), body))
     return out
 
 
-def payload_blocks(records: DataFrame, key: str = "record_id", payload: str = "payload", bodies: bool = True) -> DataFrame:
-    """One row per block and result item of each record that parses: rec_key and the columns of _BLOCK.
+def _once(records: DataFrame, key: str, payload: str, rows: Callable[[str | None], list[tuple] | None], schema: str) -> DataFrame:
+    """rec_key and the columns of schema: rows(payload) of each record that parses.
 
     Redelivered records count once: the tasks that parse send one row per delivery, of which one per key is kept.
-    bodies False leaves the texts out, and so out of the exchange.
     """
+    names, types = zip(*(x.split() for x in schema.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [], []
+            keys, lists = [], []
             for k, p in zip(batch.column(0), batch.column(1).to_pylist()):
-                if (found := _rows(p, bodies)) is not None:
+                if (found := rows(p)) is not None:
                     keys.append(k.as_py())
-                    rows.append(found)
-            flat = [x for r in rows for x in r]
-            columns = list(zip(*flat)) if flat else [[] for _ in _BLOCK_FIELDS]
-            struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _BLOCK_TYPES)], names=list(_BLOCK_FIELDS))
+                    lists.append(found)
+            flat = [x for r in lists for x in r]
+            columns = list(zip(*flat)) if flat else [[] for _ in names]
+            struct = pa.StructArray.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(columns, types)], names=list(names))
             ends = [0]
-            for r in rows:
+            for r in lists:
                 ends.append(ends[-1] + len(r))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)], names=["rec_key", "blocks"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)], names=["rec_key", "rows"])
 
     source = records.select(F.col(key).cast("string").alias("rec_key"), F.col(payload).cast("string").alias("payload"))
-    parsed = source.mapInArrow(run, f"rec_key string, blocks array<struct<{', '.join(x.replace(' ', ': ') for x in _BLOCK.split(', '))}>>")
+    parsed = source.mapInArrow(run, f"rec_key string, rows array<struct<{', '.join(f'{n}: {t}' for n, t in zip(names, types))}>>")
     once = parsed.withColumn("own", F.when(F.col("rec_key").isNull(), F.monotonically_increasing_id())).dropDuplicates(["rec_key", "own"])
-    return once.select("rec_key", F.inline("blocks"))
+    return once.select("rec_key", F.inline("rows"))
 
 
-def turn_blocks(turns: DataFrame) -> DataFrame:
+def payload_blocks(records: DataFrame, key: str = "record_id", payload: str = "payload", bodies: bool = True, messages: bool = False) -> DataFrame:
+    """One row per block and result item of each record that parses: rec_key and the columns of _BLOCK.
+
+    bodies False leaves the texts out, and so out of the exchange. messages True adds a row of block_pos -1 for each
+    message, so that those without blocks have one too.
+    """
+    return _once(records, key, payload, lambda p: _rows(p, bodies, messages), _BLOCK)
+
+
+def payload_messages(records: DataFrame, key: str = "record_id", payload: str = "payload") -> DataFrame:
+    """One row per message, with or without blocks: rec_key and the columns of _MESSAGE."""
+    return _once(records, key, payload, _message_rows, _MESSAGE)
+
+
+def payload_contents(records: DataFrame, key: str = "record_id", payload: str = "payload") -> DataFrame:
+    """One row per tool result with its call and whole content: rec_key and the columns of _RESULT."""
+    return _once(records, key, payload, _result_rows, _RESULT)
+
+
+def payload_members(records: DataFrame, key: str = "record_id", payload: str = "payload") -> DataFrame:
+    """One row per leaf without a column of its own, such as input.path: rec_key and the columns of _MEMBER.
+
+    block_pos -1 is a member of the message, sub_pos -1 one of the block; member is the dotted path with [] for each
+    array step, positions are those in the arrays.
+    """
+    return _once(records, key, payload, _member_rows, _MEMBER)
+
+
+def turn_blocks(turns: DataFrame, bodies: bool = False) -> DataFrame:
     """The blocks of recorded turns: tool_uses as msg_pos 0, tool_results as msg_pos 1, one row each, results linked to their calls.
 
-    Only ids are read; redelivered turns, (session_id, turn_index), count once. A null id is linked to nothing.
+    Only ids are read unless bodies adds the other columns of _BLOCK; redelivered turns, (session_id, turn_index), count
+    once. A null id is linked to nothing.
     """
-    ids = turns.select("session_id", "turn_index", F.col("tool_uses.id").alias("uses"), F.col("tool_results.tool_use_id").alias("results"))
+    whole = ("tool_uses", "tool_results") if bodies else ()
+    ids = turns.select("session_id", "turn_index", F.col("tool_uses.id").alias("uses"), F.col("tool_results.tool_use_id").alias("results"), *whole)
     once = ids.dropDuplicates(["session_id", "turn_index"])
     none = F.lit(-1)
     last = lambda x: F.size("uses") - F.array_position(F.reverse("uses"), x).cast("int")
-    row = lambda m, b, call: F.struct(F.lit(m).alias("msg_pos"), b.cast("int").alias("block_pos"), none.alias("sub_pos"), F.when(call.isNull(), -1).otherwise(0).alias("call_msg_pos"), F.coalesce(call, none).alias("call_block_pos"))
+    text = lambda x: (F.lit(None) if x is None else x).cast("string")
+    more = lambda m, b: [] if not bodies else [text(x).alias(n) for n, x in zip(_BLOCK_FIELDS[5:], _turn_columns(m, b))]
+    row = lambda m, b, call: F.struct(F.lit(m).alias("msg_pos"), b.cast("int").alias("block_pos"), none.alias("sub_pos"), F.when(call.isNull(), -1).otherwise(0).alias("call_msg_pos"), F.coalesce(call, none).alias("call_block_pos"), *more(m, b))
     nothing = F.lit(None).cast("int")
     uses = F.transform(F.coalesce("uses", F.array().cast("array<string>")), lambda _, i: row(0, i, nothing))
     results = F.transform(
         F.coalesce("results", F.array().cast("array<string>")),
         lambda x, i: row(1, i, F.when(F.array_contains(F.coalesce("uses", F.array().cast("array<string>")), x), last(x))),
     )
-    key = F.concat_ws("/", "session_id", F.col("turn_index").cast("string")).alias("rec_key")
-    return once.select(key, F.inline(F.concat(uses, results)))
+    return once.select(_turn_key(), F.inline(F.concat(uses, results)))
+
+
+def _turn_key() -> Column:
+    return F.concat_ws("/", "session_id", F.col("turn_index").cast("string")).alias("rec_key")
+
+
+def _turn_columns(message: int, block: Column) -> tuple[Column | None, ...]:
+    """role, type, id, tool_use_id, name and body of one use or result."""
+    e = F.get("tool_results" if message else "tool_uses", block)
+    if message:
+        return F.lit("user"), F.lit("tool_result"), None, e["tool_use_id"], None, e["content"]
+    return F.lit("assistant"), e["type"], e["id"], None, e["name"], None
+
+
+def turn_messages(turns: DataFrame) -> DataFrame:
+    """The two messages of each turn, its uses and its results, also without any: rec_key and the columns of _MESSAGE."""
+    sizes = turns.select("session_id", "turn_index", F.size("tool_uses").alias("u"), F.size("tool_results").alias("r")).dropDuplicates(["session_id", "turn_index"])
+    one = lambda m, role, n: F.struct(F.lit(m).alias("msg_pos"), F.lit(role).alias("role"), F.lit(None).cast("string").alias("tool_use_id"), F.when(F.col(n) >= 0, "array").otherwise("null").alias("content_kind"), F.greatest(n, F.lit(0)).alias("n_blocks"))
+    return sizes.select(_turn_key(), F.inline(F.array(one(0, "assistant", "u"), one(1, "user", "r"))))
+
+
+def turn_members(turns: DataFrame) -> DataFrame:
+    """One row per member of each tool use's input, an empty input as one of kind object: rec_key and the columns of _MEMBER."""
+    once = turns.select("session_id", "turn_index", "tool_uses").dropDuplicates(["session_id", "turn_index"])
+    uses = once.select(_turn_key(), F.posexplode("tool_uses").alias("block_pos", "e")).select("rec_key", "block_pos", F.col("e.input").alias("input"))
+    member = lambda name, kind, value: F.struct(name.alias("member"), kind.alias("kind"), value.cast("string").alias("value"))
+    each = F.transform(F.map_entries("input"), lambda x: member(F.concat(F.lit("input."), x["key"]), F.when(x["value"].isNull(), "null").otherwise("string"), x["value"]))
+    rows = uses.select("rec_key", "block_pos", F.inline(F.when(F.size("input") == 0, F.array(member(F.lit("input"), F.lit("object"), F.lit(None)))).otherwise(each)))
+    return rows.select("rec_key", F.lit(0).alias("msg_pos"), "block_pos", F.lit(-1).alias("sub_pos"), "member", F.array().cast("array<int>").alias("positions"), "kind", "value")
 
 
 def damaged(records: DataFrame, key: str = "record_id", payload: str = "payload") -> DataFrame:

@@ -29,6 +29,7 @@ def _sql(body: str, *parts: str) -> str:
     return f"WITH {', '.join([BLOCKS, *parts])} {body}"
 
 
+_TURNS = "tt AS (SELECT * FROM stress_turns QUALIFY row_number() OVER (PARTITION BY session_id, turn_index ORDER BY ingest_id) = 1)"
 _KEYS = "rec_key, msg_pos, block_pos, sub_pos, call_msg_pos, call_block_pos"
 ORACLES = {
     "p2_found": _sql(
@@ -39,6 +40,13 @@ ORACLES = {
         "tt AS (SELECT * FROM stress_turns QUALIFY row_number() OVER (PARTITION BY session_id, turn_index ORDER BY ingest_id) = 1)",
     ),
     "p2_blocks": _sql("SELECT * FROM bs"),
+    "p2_messages": _sql(
+        """SELECT rec_key, msg_pos, role, msg->>'$.tool_use_id' AS tool_use_id, CASE ct WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE CASE WHEN ct IS NOT NULL THEN 'number' END END AS content_kind, coalesce(n, 0)::INT AS n_blocks
+        FROM m1 LEFT JOIN (SELECT rec_key, msg_pos, count(*) AS n FROM bl GROUP BY ALL) USING (rec_key, msg_pos)
+        UNION ALL SELECT session_id || '/' || turn_index, 0, 'assistant', NULL, CASE WHEN tool_uses IS NULL THEN 'null' ELSE 'array' END, coalesce(len(tool_uses), 0)::INT FROM tt
+        UNION ALL SELECT session_id || '/' || turn_index, 1, 'user', NULL, CASE WHEN tool_results IS NULL THEN 'null' ELSE 'array' END, coalesce(len(tool_results), 0)::INT FROM tt""", _TURNS
+    ),
+    "p2_items": _sql(f"SELECT {_KEYS}, type, body FROM bs WHERE sub_pos >= 0"),
     "message_summary": _sql("SELECT * FROM me", _MESSAGES),
     "user_turns": _sql("SELECT rec_key, msg_pos, role, authored, turn FROM ut", _MESSAGES),
     "history_cut": _sql(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import drift, unnest
 from ..sources import table
@@ -32,5 +35,27 @@ def p2_messages(spark: SparkSession, d: str) -> DataFrame:
     return unnest.payload_blocks(table(spark, d, "replay_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_lifespans": p1_lifespans, "p2_found": p2_found, "p2_blocks": p2_messages}
+def _p2(payloads: Callable[[DataFrame], DataFrame], turns: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A flat table over both sources."""
+    return lambda spark, d: payloads(table(spark, d, "replay_records")).unionByName(turns(table(spark, d, "stress_turns")))
+
+
+def p2_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items of results; those of recorded turns are strings and have none."""
+    return unnest.payload_blocks(table(spark, d, "replay_records")).filter("sub_pos >= 0").select(*BLOCK_KEYS, "type", "body")
+
+
+def _turn_results(turns: DataFrame) -> DataFrame:
+    return unnest.turn_blocks(turns, bodies=True).filter("msg_pos = 1").select("rec_key", "msg_pos", "block_pos", "call_msg_pos", "call_block_pos", "tool_use_id", F.col("body").alias("content"))
+
+
+# Messages, blocks, items and results point to their parents by the shorter key, results and items to their calls.
+TABLES = {
+    "p2_messages": _p2(unnest.payload_messages, unnest.turn_messages),
+    "p2_all_blocks": _p2(lambda r: unnest.payload_blocks(r).filter("sub_pos < 0"), lambda t: unnest.turn_blocks(t, bodies=True)),
+    "p2_members": _p2(unnest.payload_members, unnest.turn_members),
+    "p2_items": p2_items,
+    "p2_results": _p2(unnest.payload_contents, _turn_results),
+}
+QUERIES = TABLES | {"p1_found": p1_found, "p1_table": p1_table, "p1_lifespans": p1_lifespans, "p2_found": p2_found, "p2_blocks": p2_messages}
 ORACLES: dict[str, str] = {}

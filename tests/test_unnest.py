@@ -80,3 +80,27 @@ def test_result_contents(spark, rows):
     turns = spark.createDataFrame([("s", 1, [], [("r3", "d"), (None, "e")], None)], TURNS)
     records = spark.createDataFrame([(1, payload)], "record_id bigint, payload string")
     assert rows(unnest.tool_results(turns, records)) == [("r1", "a\nb"), ("r2", "c"), ("r3", "d")]
+
+
+def test_whole_tables(spark, rows):
+    """Messages without blocks, members of inputs at any depth, contents, and the same of recorded turns."""
+    call = {"type": "tool_use", "id": "t1", "name": "read", "input": {"path": "a", "range": {"offset": 1, "globs": ["x", []]}, "none": None}}
+    result = {"type": "tool_result", "tool_use_id": "t1", "is_error": True, "content": [{"type": "text", "text": "a"}, {"type": "image", "source": {"data": "i"}}]}
+    payload = json.dumps({"messages": [{"role": "user", "content": ""}, {"role": "assistant", "content": None}, {"role": "assistant", "content": [call]}, {"role": "user", "content": [result]}, {"role": "user", "content": []}, {"role": "tool_result", "tool_use_id": "t2", "content": "c", "seen": 1}]})
+    records = spark.createDataFrame([(1, payload), (1, payload), (2, "{damaged")], "record_id bigint, payload string")
+    assert rows(unnest.payload_messages(records)) == [
+        ("1", 0, "user", None, "string", 0), ("1", 1, "assistant", None, "null", 0), ("1", 2, "assistant", None, "array", 1), ("1", 3, "user", None, "array", 1), ("1", 4, "user", None, "array", 0), ("1", 5, "tool_result", "t2", "string", 1)
+    ]
+    assert rows(unnest.payload_members(records)) == sorted([
+        ("1", 2, 0, -1, "input.path", [], "string", "a"), ("1", 2, 0, -1, "input.range.offset", [], "number", "1"), ("1", 2, 0, -1, "input.range.globs[]", [0], "string", "x"), ("1", 2, 0, -1, "input.range.globs[]", [1], "array", None),
+        ("1", 2, 0, -1, "input.none", [], "null", None), ("1", 3, 0, -1, "is_error", [], "boolean", "true"), ("1", 3, 0, 1, "source.data", [], "string", "i"), ("1", 5, -1, -1, "seen", [], "number", "1"),
+    ], key=repr)
+    assert rows(unnest.payload_contents(records)) == [("1", 3, 0, 2, 0, "t1", "a"), ("1", 5, 0, -1, -1, "t2", "c")]
+
+    use = lambda i, x: ("tool_use", i, "read", x)
+    turn = ("s", 1, [use("a", {"path": "x", "n": None}), None, use("b", {})], [("b", "text")], "")
+    turns = spark.createDataFrame([turn, turn, ("s", 2, None, [], "")], TURNS)
+    assert rows(unnest.turn_messages(turns)) == [("s/1", 0, "assistant", None, "array", 3), ("s/1", 1, "user", None, "array", 1), ("s/2", 0, "assistant", None, "null", 0), ("s/2", 1, "user", None, "array", 0)]
+    assert rows(unnest.turn_members(turns)) == sorted([("s/1", 0, 0, -1, "input.path", [], "string", "x"), ("s/1", 0, 0, -1, "input.n", [], "null", None), ("s/1", 0, 2, -1, "input", [], "object", None)], key=repr)
+    blocks = rows(unnest.turn_blocks(turns, bodies=True))
+    assert blocks[0] == ("s/1", 0, 0, -1, -1, -1, "assistant", "tool_use", "a", None, "read", None) and blocks[-1] == ("s/1", 1, 0, -1, 0, 2, "user", "tool_result", None, "b", None, "text") and len(blocks) == 4
