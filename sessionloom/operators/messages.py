@@ -1,6 +1,7 @@
 """Operators over messages: cuts, pairing across messages, merging of roles, chunks, tags.
 
-`blocks` are rows of `unnest.payload_blocks`: rec_key, msg_pos, block_pos, sub_pos, call positions, role, type, ids, body.
+`blocks` are rows of `unnest.payload_blocks`: rec_key, msg_pos, block_pos, sub_pos, call positions, role, type, ids, body. With
+payload_blocks' rows of block_pos -1 messages without blocks count as messages too; otherwise they are left out.
 """
 
 from __future__ import annotations
@@ -13,18 +14,18 @@ from ..functions import text as T
 
 
 def messages(blocks: DataFrame) -> DataFrame:
-    """One row per message that has blocks: role, number of blocks by type, its text joined by blanks."""
+    """One row per message among blocks: role, number of blocks by type, its text joined by blanks."""
     b = blocks.filter("sub_pos = -1")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("type").isin("text", "tool_result"), F.struct("block_pos", "body")))), lambda x: x["body"]), " ")
     return b.groupBy("rec_key", "msg_pos").agg(
-        F.first("role").alias("role"), F.count("*").alias("n_blocks"), F.count_if(F.col("type") == "tool_use").alias("n_uses"), F.count_if(F.col("type") == "tool_result").alias("n_results"),
+        F.first("role").alias("role"), F.count_if(F.col("block_pos") >= 0).alias("n_blocks"), F.count_if(F.col("type") == "tool_use").alias("n_uses"), F.count_if(F.col("type") == "tool_result").alias("n_results"),
         F.count_if(F.col("type") == "thinking").alias("n_thinking"), text.alias("text"),
     )
 
 
 def user_turns(msgs: DataFrame) -> DataFrame:
-    """Messages with the number of user-authored messages up to them: a user message of tool results alone is none."""
-    authored = (F.col("role") == "user") & (F.col("n_results") < F.col("n_blocks"))
+    """Messages with the number of user-authored messages up to them: a user message of tool results alone is none, an empty one is."""
+    authored = (F.col("role") == "user") & ((F.col("n_results") < F.col("n_blocks")) | (F.col("n_blocks") == 0))
     return msgs.withColumn("authored", F.coalesce(authored, F.lit(False))).withColumn("turn", F.sum(F.col("authored").cast("int")).over(W.partitionBy("rec_key").orderBy("msg_pos").rowsBetween(W.unboundedPreceding, 0)))
 
 
@@ -52,8 +53,8 @@ def timeline(blocks: DataFrame) -> DataFrame:
 
 
 def merged_roles(blocks: DataFrame) -> DataFrame:
-    """Adjacent messages of one role as one: islands of equal roles, with their span and number of blocks. A tool_result message counts as user."""
-    m = messages(blocks).withColumn("role", F.when(F.col("role") == "tool_result", "user").otherwise(F.col("role")))
+    """Adjacent messages of one role as one: islands of equal roles, with their span and number of blocks. A tool_result message counts as user, one without blocks parts nothing."""
+    m = messages(blocks).filter("n_blocks > 0").withColumn("role", F.when(F.col("role") == "tool_result", "user").otherwise(F.col("role")))
     line = W.partitionBy("rec_key").orderBy("msg_pos")
     new = m.withColumn("new", F.when(F.lag("role").over(line).eqNullSafe(F.col("role")) & F.lag("msg_pos").over(line).isNotNull(), 0).otherwise(1))
     return new.withColumn("island", F.sum("new").over(line)).groupBy("rec_key", "island").agg(F.first("role").alias("role"), F.min("msg_pos").alias("first_pos"), F.max("msg_pos").alias("last_pos"), F.sum("n_blocks").alias("n_blocks"))

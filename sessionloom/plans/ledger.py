@@ -23,6 +23,15 @@ def _blocks(f, *a):  # type: ignore[no-untyped-def]
     return lambda spark, d: f(unnest.payload_blocks(table(spark, d, "replay_records")), *a)
 
 
+def _messages(f):  # type: ignore[no-untyped-def]
+    """f over the blocks and all messages, with or without blocks."""
+    return lambda spark, d: f(unnest.payload_blocks(table(spark, d, "replay_records"), messages=True))
+
+
+def _user_turns(blocks: DataFrame) -> DataFrame:
+    return messages.user_turns(messages.messages(blocks)).select("rec_key", "msg_pos", "role", "authored", "turn")
+
+
 def ledger_latest(spark: SparkSession, d: str) -> DataFrame:
     return ledger.latest(_lines(spark, d)).select("stream", "session_id", "file_seq", "line_no", "date", "model", "tokens", "saved_prompt_tokens")
 
@@ -55,8 +64,13 @@ QUERIES = {
     "lane_summary": lambda spark, d: ledger.lanes(_runs(spark, d)),
     "paired_compare": lambda spark, d: ledger.paired(_runs(spark, d), "A", "R"),
     "message_summary": _blocks(lambda b: messages.messages(b).drop("text")),
-    "user_turns": _blocks(lambda b: messages.user_turns(messages.messages(b)).select("rec_key", "msg_pos", "role", "authored", "turn")),
-    "history_cut": _blocks(messages.cuts),
+    "user_turns": _blocks(_user_turns),
+    "history_cut": _messages(messages.cuts),
+    # The whole forms of four queries whose own SQL starts from messages that have blocks.
+    "message_summary_all": _messages(lambda b: messages.messages(b).drop("text")),
+    "user_turns_all": _messages(_user_turns),
+    "pairing_timeline_all": _messages(messages.timeline),
+    "conversation_chunks_all": _messages(messages.chunks),
     "pairing_timeline": _blocks(messages.timeline),
     "merged_roles": _blocks(messages.merged_roles),
     "conversation_chunks": _blocks(messages.chunks),

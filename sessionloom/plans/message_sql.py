@@ -74,3 +74,10 @@ ORACLES = {
     ),
     "block_token_estimates": _sql("SELECT role, type, count(*) AS n, sum(floor(coalesce(length(body), 0) / 4))::BIGINT AS n_tokens FROM bs GROUP BY ALL"),
 }
+# The same over all messages, with or without blocks.
+_ALL = """
+me AS (SELECT m1.rec_key, m1.msg_pos, any_value(m1.role) AS role, count(block_pos) AS n_blocks, count(*) FILTER (type = 'tool_use') AS n_uses, count(*) FILTER (type = 'tool_result') AS n_results, count(*) FILTER (type = 'thinking') AS n_thinking
+  FROM m1 LEFT JOIN (SELECT rec_key, msg_pos, block_pos, type FROM bs WHERE sub_pos = -1) b USING (rec_key, msg_pos) GROUP BY m1.rec_key, m1.msg_pos),
+ut AS (SELECT *, sum(authored::INT) OVER (PARTITION BY rec_key ORDER BY msg_pos)::BIGINT AS turn FROM (SELECT *, coalesce(role = 'user' AND (n_results < n_blocks OR n_blocks = 0), false) AS authored FROM me))
+"""
+ORACLES |= {f"{name}_all": ORACLES[name].replace(_MESSAGES, _ALL) for name in ("message_summary", "user_turns", "pairing_timeline", "conversation_chunks")}

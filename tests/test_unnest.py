@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from sessionloom.operators import unnest
+from sessionloom.operators import messages, unnest
 
 USE = {"type": "tool_use", "id": "t1", "name": "read", "input": {"path": "a", "range": {"offset": 1, "globs": ["x"]}}}
 JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from("abc"), x, max_size=3), max_leaves=12)
@@ -104,3 +104,16 @@ def test_whole_tables(spark, rows):
     assert rows(unnest.turn_members(turns)) == sorted([("s/1", 0, 0, -1, "input.path", [], "string", "x"), ("s/1", 0, 0, -1, "input.n", [], "null", None), ("s/1", 0, 2, -1, "input", [], "object", None)], key=repr)
     blocks = rows(unnest.turn_blocks(turns, bodies=True))
     assert blocks[0] == ("s/1", 0, 0, -1, -1, -1, "assistant", "tool_use", "a", None, "read", None) and blocks[-1] == ("s/1", 1, 0, -1, 0, 2, "user", "tool_result", None, "b", None, "text") and len(blocks) == 4
+
+
+def test_messages_without_blocks_count(spark, rows):
+    """They are rows of their own, the next message of a call, authored and cuts when they are a user's."""
+    said = lambda role, content: {"role": role, "content": content}
+    answer = said("user", [{"type": "tool_result", "tool_use_id": "t1", "content": "x"}])
+    payload = json.dumps({"messages": [said("user", ""), said("assistant", [USE]), said("assistant", None), answer, said("user", []), said("assistant", "a"), said("user", None), said("user", "b")]})
+    blocks = unnest.payload_blocks(spark.createDataFrame([(1, payload)], "record_id bigint, payload string"), messages=True)
+    assert [(r.msg_pos, r.n_blocks) for r in messages.messages(blocks).orderBy("msg_pos").collect()] == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, 1), (6, 0), (7, 1)]
+    assert [r.turn for r in messages.user_turns(messages.messages(blocks)).orderBy("msg_pos").collect()] == [1, 1, 1, 1, 2, 2, 3, 4]
+    assert [(r.next_role, r.n_answers, r.answered_next) for r in messages.timeline(blocks).collect()] == [("assistant", 1, False)]
+    assert rows(messages.cuts(blocks)) == [("1", 4)] and rows(messages.chunks(blocks)) == [("1", 0, 0, 5, 3), ("1", 1, 6, 6, 0), ("1", 2, 7, 7, 1)]
+    assert rows(messages.merged_roles(blocks).select("role", "first_pos", "last_pos")) == sorted([("assistant", 1, 1), ("user", 3, 3), ("assistant", 5, 5), ("user", 7, 7)], key=repr)
