@@ -46,13 +46,28 @@ def nearest_rank_p95(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similar_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts of a session's turns against those of its own later records, by shared words."""
+    """Names of fixtures against names of ledger fields, by shared words of more than three characters; `session_text_matches` is the job over texts."""
     t = table(spark, d, "replay_meta")
     left = t.select(F.col("fixture").alias("id"), F.lit("all").alias("key"), F.concat_ws(" ", F.replace("fixture", F.lit("_"), F.lit(" ")), "fixture_kind").alias("text"))
     right = table(spark, d, "ledger_fields").select(F.col("field").alias("id"), F.lit("all").alias("key"), F.replace("field", F.lit("_"), F.lit(" ")).alias("text"))
     return messages.similar_prompts(left, right, 0.1)
 
 
+def session_text_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Similar texts of one session: prompts of its turns and texts of its replayed messages, each with each.
+
+    An id is session/turn, or record/message/block. Redelivered turns and records count once; without a session_id
+    there is nothing to match with. Prompts meet texts of records where both tables hold the session.
+    """
+    turns = table(spark, d, "stress_turns").select("session_id", "turn_index", "prompt").dropDuplicates(["session_id", "turn_index"])
+    prompts = turns.select(F.col("session_id").alias("key"), F.concat_ws("/", "session_id", "turn_index").alias("id"), F.col("prompt").alias("text"))
+    records = table(spark, d, "replay_records")
+    blocks = unnest.payload_blocks(records).filter("sub_pos < 0 and type = 'text' and body is not null")
+    owners = records.select(F.col("record_id").cast("string").alias("rec_key"), F.col("session_id").alias("key")).dropDuplicates(["rec_key"])
+    said = blocks.join(owners, "rec_key").select("key", F.concat_ws("/", "rec_key", "msg_pos", "block_pos").alias("id"), F.col("body").alias("text"))
+    return messages.similar_texts(prompts.unionByName(said)).withColumnRenamed("key", "session_id")
+
+
 QUERIES = {
     "ledger_latest": ledger_latest,
     "ledger_rollup": _sessions(ledger.rollup),
@@ -78,6 +93,7 @@ QUERIES = {
     "fact_extract": _blocks(messages.facts),
     "block_token_estimates": _blocks(messages.token_estimates),
     "jaccard_match": similar_prompts,
+    "session_text_matches": session_text_matches,
 }
 
 # ---- SQL --------------------------------------------------------------------------------------------------------

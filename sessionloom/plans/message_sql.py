@@ -81,3 +81,10 @@ me AS (SELECT m1.rec_key, m1.msg_pos, any_value(m1.role) AS role, count(block_po
 ut AS (SELECT *, sum(authored::INT) OVER (PARTITION BY rec_key ORDER BY msg_pos)::BIGINT AS turn FROM (SELECT *, coalesce(role = 'user' AND (n_results < n_blocks OR n_blocks = 0), false) AS authored FROM me))
 """
 ORACLES |= {f"{name}_all": ORACLES[name].replace(_MESSAGES, _ALL) for name in ("message_summary", "user_turns", "pairing_timeline", "conversation_chunks")}
+ORACLES["session_text_matches"] = _sql(
+    """SELECT a.session_id, a.id AS left_id, b.id AS right_id, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM tk a JOIN tk b ON a.session_id = b.session_id AND a.id < b.id
+    WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.25""",
+    _TURNS, """tx AS (SELECT session_id, session_id || '/' || turn_index AS id, prompt AS body FROM tt UNION ALL SELECT session_id, rec_key || '/' || msg_pos || '/' || block_pos, body FROM bs
+    JOIN (SELECT DISTINCT record_id::VARCHAR AS rec_key, session_id FROM replay_records) USING (rec_key) WHERE sub_pos = -1 AND type = 'text'),
+    tk AS (SELECT * FROM (SELECT session_id, id, list_distinct(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9_/]+'), lambda x: x <> '')) AS w FROM tx WHERE body IS NOT NULL AND session_id IS NOT NULL) WHERE len(w) > 0)""",
+)

@@ -117,3 +117,18 @@ def test_messages_without_blocks_count(spark, rows):
     assert [(r.next_role, r.n_answers, r.answered_next) for r in messages.timeline(blocks).collect()] == [("assistant", 1, False)]
     assert rows(messages.cuts(blocks)) == [("1", 4)] and rows(messages.chunks(blocks)) == [("1", 0, 0, 5, 3), ("1", 1, 6, 6, 0), ("1", 2, 7, 7, 1)]
     assert rows(messages.merged_roles(blocks).select("role", "first_pos", "last_pos")) == sorted([("assistant", 1, 1), ("user", 3, 3), ("assistant", 5, 5), ("user", 7, 7)], key=repr)
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 64])
+def test_similar_texts_against_brute_force(spark, rows, frequent):
+    import random
+    import re
+
+    r = random.Random(3)
+    words = ["a", "of", "the", "x_1", "src/a", *(f"w{i}" for i in range(20))]
+    texts = [(r.choice("kl"), f"{i:03}", " ".join(r.choice(words[: r.choice((3, 8, 25))]) for _ in range(r.choice((1, 2, 4, 9, 20))))) for i in range(150)]
+    texts += [("k", "n1", None), ("k", "n2", "?!"), (None, "n3", "of the"), ("k", "n4", "Of THE!"), ("k", "n5", "the, of")]
+    sets = {i: (k, set(re.sub(r"[^a-z0-9_/]", " ", t.lower()).split())) for k, i, t in texts if k and t}
+    want = [(k, i, j, len(a & b) / len(a | b)) for i, (k, a) in sets.items() for j, (m, b) in sets.items() if i < j and k == m and a and b and len(a & b) / len(a | b) >= 0.25]
+    got = rows(messages.similar_texts(spark.createDataFrame(texts, "key string, id string, text string"), frequent=frequent))
+    assert got == sorted(want, key=repr) and ("k", "n4", "n5", 1.0) in got
