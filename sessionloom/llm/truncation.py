@@ -43,13 +43,13 @@ _CLOSED = frozenset(".!?。！？}`\"”»")
 
 
 def limits(documents: DataFrame, least: int = 5, factor: float = 6.0, around: int = 64) -> DataFrame:
-    """(source, chars array<int>, bytes array<int>): lengths that at least `least` texts have, `factor` times as many as lengths around."""
+    """(source, chars array<int>, bytes array<int>): lengths that at least `least` texts have, `factor` times as many as lengths around, the most frequent first."""
     once = documents.filter("text is not null and text <> ''").select("source", F.xxhash64("text").alias("h"), F.length("text").alias("c"), F.octet_length("text").alias("b")).dropDuplicates(["source", "h"])
     sizes = once.select("source", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("c").alias("n")), F.struct(F.lit("b").alias("unit"), F.col("b").alias("n")))).alias("e")).select("source", "e.*")
     counts = sizes.groupBy("source", "unit", "n").agg(F.count("*").alias("k"))
     near = W.partitionBy("source", "unit").orderBy("n").rangeBetween(-around, around)
     peaks = counts.withColumn("rest", (F.sum("k").over(near) - F.col("k")) / (2 * around)).filter((F.col("k") >= least) & (F.col("k") > factor * F.greatest("rest", F.lit(0.3))))
-    top = lambda unit: F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("unit") == unit, F.struct("k", "n"))), asc=False), lambda e: e["n"]), 1, 32)
+    top = lambda unit: F.transform(F.sort_array(F.collect_list(F.when(F.col("unit") == unit, F.struct("k", "n"))), asc=False), lambda e: e["n"])
     return peaks.groupBy("source").agg(top("c").alias("chars"), top("b").alias("bytes"))
 
 
@@ -108,8 +108,12 @@ def features(text: str, chars: list[int] | None, octets: list[int] | None, words
     mark = _MARK.search(body)
     core = body[: mark.start()].rstrip() if mark else body
     fenced = core.count("```") % 2 == 1
-    lines = core[-4000:].split("\n")
-    line, previous = lines[-1], next((x for x in reversed(lines[:-1]) if x.strip()), "")
+    end = core.rfind("\n")
+    line, previous = core[end + 1 :], ""
+    while end >= 0 and not previous.strip():
+        start = core.rfind("\n", 0, end)
+        previous, end = core[start + 1 : end], start
+    previous = previous if previous.strip() else ""
     kind = _kind(core.lstrip(), line, fenced)
     last = core[-1:]
     ends = "." if last in _CLOSED else "w" if last.isalpha() else "0" if last.isdigit() else last

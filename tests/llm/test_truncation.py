@@ -53,3 +53,13 @@ def test_empty(spark):
     df = spark.createDataFrame([], DOCS)
     assert t.truncated(df).isEmpty() and t.rates(df).isEmpty()
     assert t.truncated(spark.createDataFrame([(1, None, None, "x", 0.0)], DOCS)).isEmpty()
+
+
+def test_long_last_lines_and_many_limits(spark):
+    words = t.Vocabulary([])
+    hashed = lambda x: t.crc32(x.encode()) & ((1 << t.BITS) - 1)
+    found = t.features("intro\n\n- (" + "word " * 1000 + "word", None, None, words)
+    assert hashed("b|list") in found and hashed("p|list|1|0") in found
+    lengths = [500 + 200 * i for i in range(40)]
+    rows = [(100 * i + k, f"{i}-{k} ".ljust(n, "x"), "many", "x", 0.0) for i, n in enumerate(lengths) for k in range(8)]
+    assert sorted(t.limits(spark.createDataFrame(rows, DOCS)).first().chars) == lengths
