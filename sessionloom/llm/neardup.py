@@ -37,7 +37,7 @@ from .words import chunks, mix, shingle_sets
 
 SYMBOLS, BLOCKS = 32, 8
 LEAST, WORDS, THRESHOLD = 80, 3, 0.7
-SMALL, BLOCK = 48, 512
+SMALL, BLOCK, PART = 48, 512, 8_192
 HOT_KEYS, HOT_ROWS, SAMPLE = 10_000, 200_000, 64
 
 
@@ -181,25 +181,36 @@ def _across(crowded: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFra
     """Of each crowded bucket, the pairs within the covered radius between different groups.
 
     The members outside a bucket's largest group are compared, in blocks, with the members of other groups; only
-    pairs within the radius leave the task.
+    pairs within the radius leave the task. A task compares one part of them with one part of all members, about `PART`
+    rows of each, so that none holds a whole bucket.
     """
     labelled = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-    rows = labelled.join(main.select("key", "main"), "key").join(classes.select("node", "vector"), "node")
+    parts = sizes.join(main.select("key", "main"), "key").groupBy("key").agg(F.first("main").alias("main"), F.ceil(F.sum("n") / PART).cast("int").alias("parts"), F.ceil(F.sum(F.when(F.col("root") != F.col("main"), F.col("n"))) / PART).cast("int").alias("asking"))
+    rows = _tasks(labelled.join(parts, "key")).join(classes.select("node", "vector"), "node")
 
     def near(table: pa.Table) -> pa.Table:
-        node, root, main = (table.column(c).to_numpy() for c in ("node", "root", "main"))
+        node, root, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "asks"))
         vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SYMBOLS)
-        asking, found = np.flatnonzero(root != main), []
+        asking, members, found = np.flatnonzero(asks), np.flatnonzero(~asks), []
         for k in range(0, asking.size, BLOCK):
             part = asking[k : k + BLOCK]
-            same = np.zeros((part.size, node.size), np.int8)
+            same = np.zeros((part.size, members.size), np.int8)
             for t in range(SYMBOLS):
-                same += vectors[part, t][:, None] == vectors[:, t][None, :]
-            x, y = np.nonzero((same > BLOCKS) & (root[part][:, None] != root[None, :]))
-            found.append(np.stack([node[part[x]], node[y]]))
+                same += vectors[part, t][:, None] == vectors[members, t][None, :]
+            x, y = np.nonzero((same > BLOCKS) & (root[part][:, None] != root[members][None, :]))
+            found.append(np.stack([node[part[x]], node[members[y]]]))
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    return rows.groupBy("key").applyInArrow(near, "a bigint, b bigint").distinct()
+    return rows.groupBy("key", "ask", "part").applyInArrow(near, "a bigint, b bigint").distinct()
+
+
+def _tasks(labelled: DataFrame) -> DataFrame:
+    """The rows of each task (key, ask, part): once as asking ones for every part of the members, once as members for every part of the asking."""
+    part = lambda n: F.pmod(F.xxhash64("node"), n.cast("bigint")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = labelled.filter("root <> main").select("key", "node", "root", F.lit(True).alias("asks"), part(F.col("asking")).alias("ask"), upto(F.col("parts")).alias("part"))
+    members = labelled.select("key", "node", "root", F.lit(False).alias("asks"), part(F.col("parts")).alias("part"), upto(F.col("asking")).alias("ask"))
+    return asking.unionByName(members)

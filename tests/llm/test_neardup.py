@@ -83,3 +83,24 @@ def test_empty_and_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (102, 101), (7, 7)], "a bigint, b bigint")
     got = dict(tuple(r) for r in components.components(chain).collect())
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_no_task_holds_a_whole_bucket(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PART", 16)
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(0, 3, (200, neardup.SYMBOLS))
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "node bigint, vector array<int>")
+    roots = spark.createDataFrame([(i, i // 4 * 4 if i >= 80 else 0) for i in range(200)], "node bigint, root bigint")
+    crowded = spark.createDataFrame([("k", i) for i in range(200)], "key string, node bigint")
+    root = {i: i // 4 * 4 if i >= 80 else 0 for i in range(200)}
+    want = [(i, j) for i in range(200) for j in range(i + 1, 200) if root[i] != root[j] and (vectors[i] == vectors[j]).sum() > neardup.BLOCKS]
+    seen, group = [], type(crowded).groupBy
+
+    def counted(df, *keys):
+        if "asks" in df.columns or "main" in df.columns and "vector" in df.columns:
+            seen.extend(r["count"] for r in group(df, *keys).count().collect())
+        return group(df, *keys)
+
+    monkeypatch.setattr(type(crowded), "groupBy", counted)
+    assert sorted(tuple(r) for r in neardup._across(crowded, roots, classes).collect()) == want
+    assert seen and max(seen) < 100
