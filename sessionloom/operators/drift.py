@@ -63,7 +63,10 @@ def logical(name: Column, aliases: Mapping[str, Sequence[str]] = ALIASES) -> Col
 
 
 def _json_entries(raw: Column, depth: int = 3) -> Column:
-    """Leaves of a JSON object as array<struct<name, kind, value>>; null when raw is no object."""
+    """Leaves of a JSON object as array<struct<name, kind, value>>; null when raw is no object.
+
+    Objects are walked to `depth` levels; one below them is a leaf of its JSON text, which `others` reports.
+    """
     doc = F.try_parse_json(raw).try_cast("map<string,variant>")
 
     def entries(members: Column, prefix: Column | None, left: int) -> Column:
@@ -215,6 +218,12 @@ def unified(files: DataFrame, records: DataFrame, aliases: Mapping[str, Sequence
     return lines.select("stream", "file_seq", "file_id", "line_no", *columns, merged.alias("others"), (~F.col("readable")).alias("damaged"), F.when(~F.col("readable"), F.col("raw")).alias("damaged_raw"))
 
 
+def others(files: DataFrame, records: DataFrame, aliases: Mapping[str, Sequence[str]] = ALIASES) -> DataFrame:
+    """(stream, file_seq, file_id, line_no, pos, name, kind, value) of each value whose name isn't in the alias table, in the line's order."""
+    each = entries(files, records).select("stream", "file_seq", "file_id", "line_no", F.posexplode("entries").alias("pos", "e"))
+    return each.filter(~logical(F.col("e.name"), aliases).isin(*aliases)).select("stream", "file_seq", "file_id", "line_no", "pos", "e.name", "e.kind", "e.value")
+
+
 def report(files: DataFrame, records: DataFrame, fields: Sequence[str] = TRACKED) -> dict[str, DataFrame]:
     """The consistent table, each change and each lifespan."""
     return {"table": unified(files, records), "changes": changes(files, records, fields), "lifespans": lifespans(files, records, fields)}

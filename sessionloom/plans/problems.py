@@ -21,6 +21,11 @@ def p1_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "savings_files"), table(spark, d, "savings_records")).drop("others")
 
 
+def p1_others(spark: SparkSession, d: str) -> DataFrame:
+    """The values that p1_table has no column for."""
+    return drift.others(table(spark, d, "savings_files"), table(spark, d, "savings_records"))
+
+
 def p1_lifespans(spark: SparkSession, d: str) -> DataFrame:
     return drift.lifespans(table(spark, d, "savings_files"), table(spark, d, "savings_records"))
 
@@ -57,5 +62,5 @@ TABLES = {
     "p2_items": p2_items,
     "p2_results": _p2(unnest.payload_contents, _turn_results),
 }
-QUERIES = TABLES | {"p1_found": p1_found, "p1_table": p1_table, "p1_lifespans": p1_lifespans, "p2_found": p2_found, "p2_blocks": p2_messages}
+QUERIES = TABLES | {"p1_found": p1_found, "p1_table": p1_table, "p1_others": p1_others, "p1_lifespans": p1_lifespans, "p2_found": p2_found, "p2_blocks": p2_messages}
 ORACLES: dict[str, str] = {}

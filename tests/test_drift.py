@@ -51,3 +51,9 @@ def test_empty_tables_and_long_lines(spark):
     assert drift.unified(f, r).isEmpty() and drift.lifespans(f, r).isEmpty()
     f, r = frames(spark, [("a", "s", 1, "kv", None), ("b", "s", 2, "kv", None)], [("a", 1, "|".join(f"k{i}:{i}" for i in range(5000))), ("b", 1, "bpt:" + "9" * 10_000)])
     assert [tuple(x) for x in drift.changes(f, r).collect()] == [("b", "baseline_prompt_tokens", "added")]
+
+
+def test_values_under_unknown_names_are_kept(spark, rows):
+    f, r = frames(spark, [("a", "s", 1, "jsonl", None)], [("a", 1, json.dumps({"session_id": "z", "New Name": 1, "new_name": "2", "a": {"b": {"c": {"d": {"e": 5}}}}}))])
+    got = sorted((x.name, x.kind, x.value) for x in drift.others(f, r).collect())
+    assert got == [("New Name", "whole", "1"), ("a.b.c", "text", '{"d":{"e":5}}'), ("new_name", "text", "2")]
