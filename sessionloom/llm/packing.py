@@ -8,7 +8,8 @@ task; what the shards leave in windows filled to under `LOOSE` of the capacity i
 Cases. Only texts above the capacity are split, into full windows and a rest that is packed like any item. Null and
 empty texts have no tokens and are in no window. Redelivered rows (equal doc_id) count once; equal texts under other
 ids are items of their own. Ties between levels go to the fullest. An empty table, or no capacities, gives no rows; a
-capacity below 1 is an error. Further columns are ignored.
+capacity below 1, a window_name with two capacities and more than `CAPACITIES` capacities are errors; equal rows of
+capacities count once. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-SHARD, LOOSE = 40_000, 0.93
+SHARD, LOOSE, CAPACITIES = 40_000, 0.93, 1_000
 
 
 def pack(sizes: Sequence[int], capacity: int) -> np.ndarray:
@@ -67,7 +68,12 @@ def _packed(items: DataFrame, name: str, shards: int) -> DataFrame:
 
 def windows(sizes: DataFrame, capacities: DataFrame, shard: int = SHARD) -> DataFrame:
     """(window_name, window, doc_id, piece, first_token, n_tokens) of each item, from (doc_id, n_tokens) and (window_name, capacity_tokens)."""
-    limits = {r[0]: int(r[1]) for r in capacities.select("window_name", "capacity_tokens").filter("capacity_tokens is not null").limit(1000).collect()}
+    rows = capacities.select("window_name", "capacity_tokens").filter("capacity_tokens is not null").distinct().limit(CAPACITIES + 1).collect()
+    if len(rows) > CAPACITIES:
+        raise ValueError(f"more than {CAPACITIES} capacities")
+    limits = {r[0]: int(r[1]) for r in rows}
+    if len(limits) < len(rows):
+        raise ValueError("a window_name has two capacities")
     if any(c < 1 for c in limits.values()):
         raise ValueError("a window holds at least one token")
     names = F.array(*[F.struct(F.lit(n).alias("window_name"), F.lit(c).alias("capacity")) for n, c in sorted(limits.items())]) if limits else F.expr("cast(array() as array<struct<window_name: string, capacity: int>>)")
@@ -93,6 +99,6 @@ def windows(sizes: DataFrame, capacities: DataFrame, shard: int = SHARD) -> Data
 def unused(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """For each capacity: windows, tokens, unused tokens and their share."""
     each = packed.groupBy("window_name", "window").agg(F.sum("n_tokens").alias("n"))
-    total = each.groupBy("window_name").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n_tokens"), F.max("n").alias("most_tokens")).join(capacities.select("window_name", "capacity_tokens"), "window_name")
+    total = each.groupBy("window_name").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n_tokens"), F.max("n").alias("most_tokens")).join(capacities.select("window_name", "capacity_tokens").distinct(), "window_name")
     space = F.col("n_windows") * F.col("capacity_tokens")
     return total.select("window_name", "n_windows", "n_tokens", "most_tokens", (space - F.col("n_tokens")).alias("unused_tokens"), ((space - F.col("n_tokens")) / space).alias("unused_share"))

@@ -106,3 +106,13 @@ def test_empty_mix(spark):
     df, targets = spark.createDataFrame([], DOCS), spark.createDataFrame([("a", 1.0, 1, 0)], TARGETS)
     assert mixing.mix(df, targets).isEmpty() and mixing.mix(df, targets.limit(0)).isEmpty()
     assert mixing.shares(mixing.mix(df, targets), targets).first().tokens == 0
+
+
+def test_capacities_that_would_be_lost(spark):
+    sizes = spark.createDataFrame([(1, 5)], "doc_id bigint, n_tokens int")
+    with pytest.raises(ValueError, match="two capacities"):
+        packing.windows(sizes, spark.createDataFrame([("a", 10, 0), ("a", 20, 0)], CAPS))
+    with pytest.raises(ValueError, match="more than 1000"):
+        packing.windows(sizes, spark.createDataFrame([(f"w{i}", 10, 0) for i in range(1001)], CAPS))
+    twice = spark.createDataFrame([("a", 10, 0), ("a", 10, 1)], CAPS)
+    assert packing.unused(packing.windows(sizes, twice), twice).count() == 1
