@@ -1,7 +1,7 @@
 """A compressed full-text index of a shard of texts, and matching statistics by backward search.
 
-The index holds the Burrows-Wheeler transform as a wavelet matrix of packed bits, the symbols' counts, and the
-longest-common-prefix intervals' parents; suffixes are sorted by prefix doubling in which only unresolved groups are
+The index holds the Burrows-Wheeler transform as a wavelet matrix of packed digits of `DIGIT` bits, the symbols' counts,
+and the longest-common-prefix intervals' parents; suffixes are sorted by prefix doubling in which only unresolved groups are
 sorted again. Many texts are searched in lock step, one lane each: a step extends every lane's match by one character
 to the left, and a lane that can't be extended moves to its interval's parent (Ohlebusch, Gog, Kuegel 2010).
 """
@@ -11,6 +11,10 @@ from __future__ import annotations
 import numpy as np
 
 LANE = 500
+DIGIT = 4
+_SHIFT, _INSIDE = (64 // DIGIT).bit_length() - 1, 64 // DIGIT - 1
+_LOW = np.uint64(sum(1 << k for k in range(0, 64, DIGIT)))
+_BELOW = np.array([int(_LOW) & ((1 << (k * DIGIT)) - 1) for k in range(64 // DIGIT)], np.uint64)
 
 
 def _next_separator(code: np.ndarray) -> np.ndarray:
@@ -38,7 +42,7 @@ class Index:
         apart = _next_separator(code)
         h = 8 if self.bits <= 7 else 4 if self.bits <= 15 else 2
         key = _packed(code, apart, h, self.bits)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys are one group, in whatever order
         ended = apart[order] < h
         fresh = np.ones(n, bool)
         fresh[1:] = (np.diff(key[order]) != 0) | ended[1:] | ended[:-1]
@@ -48,7 +52,7 @@ class Index:
         levels = []
         open_ = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
         while True:
-            levels.append((h, rank.copy()))
+            levels.append((h, np.append(rank, -1)))
             if not open_.size:
                 break
             index = order[open_]
@@ -68,20 +72,20 @@ class Index:
         self._wavelet(code[order - 1])
         doc = owner[order]
         change = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, n)
-        self.other = change[np.searchsorted(change, np.arange(n), side="right")].astype(np.int32)
+        self.other = np.append(np.repeat(change, np.diff(change, prepend=0)), n + 1).astype(np.int32)
 
     def _lcp(self, levels: list[tuple[int, np.ndarray]], apart: np.ndarray) -> None:
+        """Common prefixes of neighbours, by halving steps; a place beyond the text's end equals no other."""
         n, same = self.n, np.zeros(self.n - 1, np.int32)
         a, b = self.sa[:-1].astype(np.int32), self.sa[1:].astype(np.int32)
         least = levels[0][0]
         while least > 1:
             least //= 2
             key = _packed(self.code, apart, least, self.bits)
-            levels.insert(0, (least, np.where(apart < least, -1 - np.arange(n), key)))
-        for h, rank in reversed(levels):
-            x, y = a + same, b + same
-            inside = (x < n) & (y < n)
-            same += np.int32(h) * (inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]))
+            levels.insert(0, (least, np.append(np.where(apart < least, -1 - np.arange(n), key), -1 - n)))
+        while levels:
+            h, rank = levels.pop()
+            same += np.int32(h) * (rank.take(a + same) == rank.take(b + same))
         self.lcp = np.concatenate([[-1], same, [-1]]).astype(np.int32)
 
     def _parents(self) -> None:
@@ -98,38 +102,52 @@ class Index:
         self.before, self.after = sides
 
     def _wavelet(self, bwt: np.ndarray) -> None:
-        n, words = self.n, self.n // 64 + 1
-        self.words, self.ones, self.zeros, self.branch = [], [], [], []
+        """Levels of DIGIT bits each: per level the packed digits, and the place of each digit before each word."""
+        n, per, digits = self.n, 64 // DIGIT, 1 << DIGIT
+        levels = -(-self.bits // DIGIT)
+        size = n // per + 1
         symbols = np.arange(1 << self.bits)
-        start = np.zeros(1 << self.bits, np.int64)
+        start = np.zeros(symbols.size, np.int64)
+        self.words, self.places, self.blocks, self.pattern = [], [], [], []
         now = bwt
-        for level in range(self.bits - 1, -1, -1):
-            bit = (now >> level) & 1
-            packed = np.packbits(np.concatenate([bit.astype(np.uint8), np.zeros(words * 64 - n, np.uint8)]), bitorder="little").view(np.uint64)
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed))[:-1]]).astype(np.int32)
+        for level in range(levels - 1, -1, -1):
+            digit = (now >> (level * DIGIT)) & (digits - 1)
+            packed = np.zeros(size, np.uint64)
+            wide = np.concatenate([digit, np.zeros(size * per - n, digit.dtype)]).reshape(size, per)
+            for k in range(per):
+                packed |= wide[:, k].astype(np.uint64) << np.uint64(k * DIGIT)
+            counts = np.stack([(wide == d).sum(axis=1, dtype=np.int32) for d in range(digits)])
+            counts[0, -1] -= size * per - n
+            first = np.concatenate([[0], np.cumsum(counts.sum(axis=1))[:-1]])
+            before = np.cumsum(counts, axis=1, dtype=np.int32) - counts + first[:, None].astype(np.int32)
+            own = (symbols >> (level * DIGIT)) & (digits - 1)
             self.words.append(packed)
-            self.ones.append(ones)
-            self.zeros.append(n - int(bit.sum()))
-            self.branch.append(((symbols >> level) & 1).astype(bool))
-            start = self._down(len(self.words) - 1, start, self.branch[-1])
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
+            self.places.append(before.ravel())
+            self.blocks.append(own * size)
+            self.pattern.append(own.astype(np.uint64) * _LOW)
+            start = self._down(len(self.words) - 1, start, symbols)
+            now = now[np.argsort(digit.astype(np.int8), kind="stable")]
         counts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=1 << self.bits))[:-1]])
         self.offset = (counts - start).astype(np.int64)
 
-    _BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
-
-    def _down(self, level: int, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        word = at >> 6
-        ones = self.ones[level].take(word)
-        ones += np.bitwise_count(self.words[level].take(word) & self._BELOW.take(at & 63))
-        return np.where(bit, ones + self.zeros[level], at - ones)
+    def _down(self, level: int, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where the digit of symbol before each place goes: its rank, by a count of equal digits within a word."""
+        word = at >> _SHIFT
+        x = self.words[level].take(word)
+        x ^= self.pattern[level].take(symbol)
+        for k in range(DIGIT.bit_length() - 1):
+            x |= x >> np.uint64(1 << k)
+        np.invert(x, out=x)
+        x &= _BELOW.take(at & _INSIDE)
+        word += self.blocks[level].take(symbol)
+        return self.places[level].take(word) + np.bitwise_count(x)
 
     def extend(self, symbol: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search step: the intervals of symbol + match."""
         at, both = np.concatenate([left, right]).astype(np.int64), np.concatenate([symbol, symbol])
-        for k in range(self.bits):
-            at = self._down(k, at, self.branch[k][both])
-        at += self.offset[both]
+        for k in range(len(self.words)):
+            at = self._down(k, at, both).astype(np.int64)
+        at += self.offset.take(both)
         return at[: symbol.size], at[symbol.size :]
 
     def shared(self, begin: np.ndarray, end: np.ndarray, least: int, probe: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,48 +160,58 @@ class Index:
         low, top = begin.astype(np.int64), end.astype(np.int64)
         lane = np.flatnonzero(top - low >= least)
         low, top = low[lane], top[lane]
-        probing = np.ones(lane.size, bool)
+        probing, goal = np.ones(lane.size, bool), top - least  # goal: where the probe, or the lane, begins
         e = top - gap
         s, left, right = e.copy(), np.zeros(lane.size, np.int64), np.full(lane.size, n, np.int64)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while lane.size:
-            l2, r2 = self.extend(self.code[s - 1], left, right)
-            ok = r2 > l2
-            ok &= self.other[np.minimum(l2, n - 1)] < r2
-            left, right, s = np.where(ok, l2, left), np.where(ok, r2, right), s - ok
-            whole = probing & ok & (s == top - least)  # the probe is shared: go through its symbols from the right
-            ended = ~probing & ok & (s == low)
-            stuck = ~probing & ~ok
-            told = (ended | stuck) & (e - s >= least)
-            if told.any():
+
+        def tell(at: np.ndarray) -> None:
+            told = at[e[at] - s[at] >= least]
+            if told.size:
                 out.append((lane[told], s[told], e[told]))
-            if stuck.any():
-                at = np.flatnonzero(stuck)
-                a, b = left[at], right[at]
-                depth = np.maximum(self.lcp[a], self.lcp[b])
-                border = np.where(self.lcp[a] >= self.lcp[b], a, b)
-                left[at], right[at] = self.before[border], self.after[border]
-                empty = e[at] == s[at]  # not even the character itself is shared
-                e[at] = s[at] + np.maximum(depth, 0)
-                short = at[depth < probe]
-                top[short] = e[short] - empty[depth < probe]
-            else:
-                short = np.zeros(0, np.int64)
-            missed = np.flatnonzero(probing & ~ok)
-            top[missed] -= gap
-            again = np.concatenate([short, missed])
-            if again.size:
-                probing[again] = True
-                e[again] = s[again] = top[again] - gap
-                left[again], right[again] = 0, n
-            if whole.any():
-                probing[whole] = False
+
+        while lane.size:
+            l2, r2 = self.extend(self.code.take(s - 1), left, right)
+            ok = self.other.take(l2) < r2
+            np.copyto(left, l2, where=ok)
+            np.copyto(right, r2, where=ok)
+            s -= ok
+            done = []
+            hit = np.flatnonzero(ok & (s == goal))
+            if hit.size:
+                whole = hit[probing[hit]]  # the probe is shared: go through its symbols from the right
+                ended = hit[~probing[hit]]
+                tell(ended)
+                done.append(ended)
+                probing[whole], goal[whole] = False, low[whole]
                 e[whole] = s[whole] = top[whole]
                 left[whole], right[whole] = 0, n
-            done = ended | np.where(probing, top - low < least, e - low < least)
-            if done.any():
-                keep = ~done
-                lane, low, top, probing, e, s, left, right = (x[keep] for x in (lane, low, top, probing, e, s, left, right))
+            failed = np.flatnonzero(~ok)
+            if failed.size:
+                missed, stuck = failed[probing[failed]], failed[~probing[failed]]
+                top[missed] -= gap
+                again = missed
+                if stuck.size:
+                    tell(stuck)
+                    a, b = left[stuck], right[stuck]
+                    x, y = self.lcp.take(a), self.lcp.take(b)
+                    border, depth = np.where(x >= y, a, b), np.maximum(x, y)
+                    left[stuck], right[stuck] = self.before.take(border), self.after.take(border)
+                    empty = e[stuck] == s[stuck]  # not even the character itself is shared
+                    e[stuck] = s[stuck] + np.maximum(depth, 0)
+                    brief = depth < probe
+                    short, on = stuck[brief], stuck[~brief]
+                    top[short] = e[short] - empty[brief]
+                    again = np.concatenate([short, missed])
+                    done.append(on[e[on] - low[on] < least])
+                probing[again], goal[again] = True, top[again] - least
+                e[again] = s[again] = top[again] - gap
+                left[again], right[again] = 0, n
+                done.append(again[top[again] - low[again] < least])
+            if any(d.size for d in done):
+                keep = np.ones(lane.size, bool)
+                keep[np.concatenate(done)] = False
+                lane, low, top, probing, goal, e, s, left, right = (x[keep] for x in (lane, low, top, probing, goal, e, s, left, right))
         if not out:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
