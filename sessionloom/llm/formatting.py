@@ -12,7 +12,7 @@ content also has a plain fingerprint, and contents are copies when either is equ
 Cases. Redelivered results, equal tool_use_id, count once. Null contents and contents of under `least` characters are
 no copies of anything; neither are contents without letters and digits. keep_id is the smallest id of a set. Letters and digits are those of Unicode, compared by case folding; a JSON
 string counts with its unescaped value, a number with its literal's digits; repeated names in an object count as often
-as they stand. A JSON text nested too deep to parse is taken as plain text. Empty tables give no rows; further columns
+as they stand. A JSON text nested too deep to parse is taken as plain text, as are strings inside an object that breaks off. Empty tables give no rows; further columns
 of the input are ignored.
 """
 
@@ -78,20 +78,71 @@ def _decoder(keep: bool) -> json.JSONDecoder:
 _FAST, _KEEPING = _decoder(False), _decoder(True)
 
 
+_OPEN = re.compile(r'\{[ \t\n\r]*["}]')
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
+
+
+def _closed(text: str, at: int, end: int) -> tuple[list[int], int]:
+    """(starts of the outermost objects closed in text[at:end], the end of the last whole mark there).
+
+    The stretch is what a parser took before it failed, so its strings are whole. The objects still open at its end
+    fail at the same place as the outermost one and needn't be tried.
+    """
+    opened: list[int] = []
+    closed: list[int] = []
+    last = at + 1
+    for m in _MARKS.finditer(text, at, end):
+        mark, last = m[0], m.end()
+        if mark == "{":
+            opened.append(m.start())
+        elif mark == "}" and opened:
+            start = opened.pop()
+            while closed and closed[-1] > start:
+                closed.pop()
+            closed.append(start)
+    return closed, last
+
+
+class _Text(str):
+    """A text whose parse errors don't look for their line, which would take as long as the text before them."""
+
+    def count(self, *_: Any) -> int:
+        return 0
+
+    def rfind(self, *_: Any) -> int:
+        return -1
+
+
+def _balanced(text: str, at: int) -> int:
+    """The end of the object at a place, by its brackets alone; the text's end when it isn't closed."""
+    depth = 0
+    for m in _MARKS.finditer(text, at):
+        depth += (m[0] in "{[") - (m[0] in "}]")
+        if depth == 0:
+            return m.end()
+    return len(text)
+
+
 def pieces(text: str, keep: bool = False) -> Iterator[str | _Object]:
-    """The content as plain stretches and the JSON objects that occur between them."""
+    """The content as plain stretches and the JSON objects that occur between them, in time linear in its length."""
     decode = (_KEEPING if keep else _FAST).raw_decode
-    start = at = 0
-    while (at := text.find("{", at)) >= 0:
+    text, start, at = _Text(text), 0, 0
+    while m := _OPEN.search(text, at):
+        at = m.start()
         try:
-            value, end = decode(text, at)
-        except (ValueError, RecursionError):
-            at += 1
-            continue
-        if start < at:
-            yield text[start:at]
-        yield value
-        start = at = end
+            found = [(at, *decode(text, at))]
+            after = found[0][2]
+        except json.JSONDecodeError as e:
+            begins, after = _closed(text, at, max(e.pos, at + 1))
+            found = [(a, *decode(text, a)) for a in begins]
+        except (ValueError, RecursionError):  # digits beyond what an integer may have, or nested too deep
+            found, after = [], _balanced(text, at)
+        for begin, value, end in found:
+            if start < begin:
+                yield text[start:begin]
+            yield value
+            start = end
+        at = after
     if start < len(text):
         yield text[start:]
 
