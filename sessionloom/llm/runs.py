@@ -45,25 +45,17 @@ def file_key(path: Column, root: Column) -> Column:
 def values(turns: DataFrame, families: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """One row per tool use: session_id, part, turn, pos, at, value (null when the use can be in no run).
 
-    families is broadcast as a map literal of its bounded rows: it lists tools, not data.
+    families may list any number of tools: it is joined, and of a tool in several families the first counts.
     """
-    rows = families.filter("tool_name is not null and family is not null").select(tool_key(F.col("tool_name")), F.col("family")).limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("families lists more than 10000 tools")
-    known = F.create_map(*[F.lit(x) for r in dict(map(tuple, rows)).items() for x in r]) if rows else F.expr("cast(map() as map<string,string>)")
-
-    def value(use: Column) -> Column:
-        name = tool_key(use["name"])
-        path = F.coalesce(F.element_at(use["input"], "path"), F.element_at(use["input"], "file_path"))
-        family = F.coalesce(F.element_at(known, name), F.concat(F.lit("\x01"), name))
-        return F.when(use["name"].isNotNull() & (F.trim(path) != ""), F.xxhash64(family, file_key(path, F.col("workspace_root"))))
-
+    known = families.filter("tool_name is not null and family is not null").groupBy(tool_key(F.col("tool_name")).alias("name")).agg(F.min("family").alias("family"))
     part = F.floor(F.col("turn_index") / stretch).cast("int")
-    packed = turns.filter("session_id is not null and turn_index is not null and size(tool_uses) > 0").select(
-        "session_id", part.alias("part"), F.col("turn_index").alias("turn"), F.col("recorded_at").alias("at"), F.transform("tool_uses", value).alias("values")
+    uses = turns.filter("session_id is not null and turn_index is not null and size(tool_uses) > 0").select(
+        "session_id", part.alias("part"), F.col("turn_index").alias("turn"), F.col("recorded_at").alias("at"), "workspace_root", F.posexplode("tool_uses").alias("pos", "use")
     )
-    once = packed.repartition("session_id", "part").dropDuplicates(["session_id", "part", "turn"])
-    return once.select("session_id", "part", "turn", "at", F.posexplode("values").alias("pos", "value"))
+    path = F.coalesce(F.element_at("use.input", "path"), F.element_at("use.input", "file_path"))
+    plain = uses.select("session_id", "part", "turn", "at", "pos", tool_key(F.col("use.name")).alias("name"), F.when(F.trim(path) != "", file_key(path, F.col("workspace_root"))).alias("file"))
+    named = plain.join(known, "name", "left").withColumn("value", F.concat(F.coalesce("family", F.concat(F.lit("\x01"), "name")), F.lit("\x00"), "file"))
+    return named.select("session_id", "part", "turn", "at", "pos", "value").repartition("session_id", "part").dropDuplicates(["session_id", "part", "turn", "pos"])
 
 
 def runs(turns: DataFrame, families: DataFrame, least: int = 2, stretch: int = STRETCH) -> DataFrame:
