@@ -116,3 +116,18 @@ def test_capacities_that_would_be_lost(spark):
         packing.windows(sizes, spark.createDataFrame([(f"w{i}", 10, 0) for i in range(1001)], CAPS))
     twice = spark.createDataFrame([("a", 10, 0), ("a", 10, 1)], CAPS)
     assert packing.unused(packing.windows(sizes, twice), twice).count() == 1
+
+
+def test_short_sources_hold_nothing_up(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], f"k{i}", 10, "x") for i in range(200)] + [(500, "few", "f", 10, "x")], DOCS)
+    targets = spark.createDataFrame([("a", 0.49, 1, 0), ("b", 0.4, 1, 0), ("absent", 0.02, 3, 0), ("few", 0.09, 2, 0)], TARGETS)
+    shares = {x.source: x for x in mixing.shares(mixing.mix(docs, targets), targets).collect()}
+    assert shares["absent"].tokens == 0 and shares["few"].tokens == 20 and shares["few"].most_uses == 2
+    assert shares["a"].tokens >= 980 and abs(shares["a"].tokens / shares["b"].tokens - 49 / 40) < 0.03
+    # more combinations of sources than the flow takes: the others count for their first source
+    both = docs.unionByName(spark.createDataFrame([(1000 + i, s, f"k{i}", 10, "x") for i, s in ((0, "b"), (2, "few"), (4, "absent"))], DOCS))
+    monkeypatch.setattr(mixing, "PATTERNS", 4)
+    again = mixing.mix(both, targets).collect()
+    assert sum(x.n_tokens * x.n_uses for x in again) > 1800 and len({(x.source, x.doc_id) for x in again}) == len(again)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets.unionByName(spark.createDataFrame([("a", 0.1, 1, 0)], TARGETS)))
