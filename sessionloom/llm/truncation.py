@@ -5,9 +5,10 @@ lines and texts are the negatives; hashed logistic regression on closing charact
 brackets and the distance of the length to a limit is trained on them, then scores every record.
 
 Limits are found in all records: per source the lengths, in characters and in bytes, that stand out of the counts
-around them. The classifier is fitted on at most `SAMPLE` texts, chosen by a hash of the id (a documented bound; a
-quarter of them give the vocabulary, the others the examples); fitting runs in one task, its result is a vector of
-2**`BITS` weights and the vocabulary of the sample, so neither grows with the data.
+around them. The classifier is fitted on at most `SAMPLE` texts of about `SAMPLE_CHARS` characters in all, chosen by a hash
+of the id (documented bounds; a quarter of them give the vocabulary, the others the examples); fitting runs in one task, its result is a vector of
+2**`BITS` weights and the vocabulary of the sample, so neither grows with the data. Words at the end are the last six
+of a text's last 400 characters; its last line counts whole, however long.
 
 Cases. Null and empty texts and texts of white space are not truncated. Equal texts have one verdict, the highest
 score of their copies. A null source is a source of its own. Very long texts are read whole. With no records to learn
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+SAMPLE_CHARS = 64_000_000
 SAMPLE, BITS, EPOCHS, NEAR, CUT_AT, SOURCES = 16_000, 20, 6, 24, 0.5, 10_000
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _LOG = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:")
@@ -275,9 +277,10 @@ def _with_limits(documents: DataFrame) -> DataFrame:
 def trained(prepared: DataFrame, sample: int = SAMPLE) -> bytes:
     """A pickled Model, fitted in one task on at most `sample` texts."""
     usable = prepared.filter("text is not null and length(text) >= 40").select("text", "chars", "bytes", F.xxhash64("doc_id", F.lit(11)).alias("h"))
-    n = usable.count()
-    if n > sample:  # a share chosen by hash, so that the limit binds only by chance and no global order is needed
-        usable = usable.filter(F.pmod("h", F.lit(1 << 20)) < int(0.97 * sample / n * (1 << 20)))
+    n, chars = usable.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    share = min(1.0, 0.97 * sample / max(n, 1), SAMPLE_CHARS / max(chars, 1))
+    if n > sample or share < 1 and chars > SAMPLE_CHARS:  # a share chosen by hash, so that the limit binds only by chance and no global order is needed
+        usable = usable.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
     chosen = usable.select("text", "chars", "bytes").limit(sample).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
