@@ -1,6 +1,6 @@
 """Schemas that drift between files: a lifespan catalogue of columns, the changes it shows, one consistent table.
 
-Every line is reduced to (name, kind, value) entries, whatever the file's format; the catalogue holds, for each
+Every line is reduced to (name, kind, value) entries, whatever the file's format and however deep its objects; the catalogue holds, for each
 producer, file and logical field, the spelling and type most lines used. Lag over the producer's files gives the
 changes, islands of equal (spelling, type) the lifespans, and the alias table the casts into one table.
 
@@ -14,8 +14,11 @@ catalogue under their own simplified name. Further columns of the input are igno
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -50,108 +53,129 @@ UNITS = {
 TRACKED = ("baseline_prompt_tokens", "reacquisition_cost_tokens", "hot_hint_tokens_added")
 
 
-def simple(name: Column) -> Column:
+def simple_name(name: str) -> str:
     """A name as lower-case words joined by underscores: camel case, blanks, hyphens and dots are equal."""
-    return F.regexp_replace(F.lower(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2")), "[^a-z0-9]+", "_")
+    return re.sub("[^a-z0-9]+", "_", re.sub("([a-z0-9])([A-Z])", r"\1_\2", name).lower())
 
 
-def logical(name: Column, aliases: Mapping[str, Sequence[str]] = ALIASES) -> Column:
-    """The logical field a physical name means; an unknown name is its own simplified form."""
-    known = {a: field for field, more in aliases.items() for a in (field, *more)}
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.coalesce(F.element_at(table, simple(name)), simple(name))
-
+class _Number(str):
+    """A JSON number with a decimal point or exponent, as it is written."""
 
-def _json_entries(raw: Column, depth: int = 3) -> Column:
-    """Leaves of a JSON object as array<struct<name, kind, value>>; null when raw is no object.
 
-    Objects are walked to `depth` levels; one below them is a leaf of its JSON text, which `others` reports.
-    """
-    doc = F.try_parse_json(raw).try_cast("map<string,variant>")
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
 
-    def entries(members: Column, prefix: Column | None, left: int) -> Column:
-        def one(e: Column) -> Column:
-            name = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
-            kind = F.schema_of_variant(e["value"])
-            leaf = F.array(
-                F.struct(
-                    name.alias("name"),
-                    F.when(kind == "VOID", "missing").when(kind == "BIGINT", "whole").when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "decimal").otherwise("text").alias("kind"),
-                    e["value"].try_cast("string").alias("value"),
-                )
-            )
-            if not left:
-                return leaf
-            return F.when(kind.startswith("OBJECT<"), entries(e["value"].try_cast("map<string,variant>"), name, left - 1)).otherwise(leaf)
 
-        return F.flatten(F.transform(F.map_entries(members), one))
+_DECODER = json.JSONDecoder(parse_float=_Number, parse_constant=_no_constant)
+_WHOLE, _DECIMAL = re.compile(r"[+-]?[0-9]+"), re.compile(r"[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+Entry = tuple[str, str, str | None]
 
-    return entries(doc, None, depth - 1)
 
+def _json_entries(raw: str) -> list[Entry] | None:
+    """(dotted name, kind, value) of each leaf of a JSON object, at any depth; None when raw is no object."""
+    try:
+        doc = _DECODER.decode(raw)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(doc, dict):
+        return None
+    out: list[Entry] = []
+    stack = [(k, v) for k, v in reversed(doc.items())]
+    while stack:
+        name, value = stack.pop()
+        if isinstance(value, dict):
+            stack.extend((f"{name}.{k}", v) for k, v in reversed(value.items()))
+        elif value is None or value == "":
+            out.append((name, "missing", value))
+        elif isinstance(value, (bool, list)):
+            out.append((name, "text", json.dumps(value, ensure_ascii=False, separators=(",", ":"))))
+        else:
+            out.append((name, "decimal" if isinstance(value, _Number) else "text" if isinstance(value, str) else "whole", str(value)))
+    return out
 
-def _plain_kind(value: Column) -> Column:
-    return F.when(value.rlike(r"^[+-]?\d+$"), "whole").when(value.rlike(r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?$"), "decimal").otherwise("text")
 
+def _plain_entry(name: str, value: str) -> Entry:
+    value = value.strip(" ")
+    return name.strip(" "), "missing" if not value else "whole" if _WHOLE.fullmatch(value) else "decimal" if _DECIMAL.fullmatch(value) else "text", value
 
-def _plain_entry(name: Column, value: Column) -> Column:
-    value = F.trim(value)
-    return F.struct(name.alias("name"), _plain_kind(value).alias("kind"), value.alias("value"))
 
+def line_entries(fmt: str | None, header: str | None, raw: str | None) -> list[Entry] | None:
+    """The entries of one line of a file, None when it is damaged."""
+    if raw is None:
+        return None
+    if fmt == "jsonl":
+        return _json_entries(raw)
+    if fmt == "semi" and header is not None:
+        names, values = header.split(";"), raw.split(";")
+        return [_plain_entry(n, v) for n, v in zip(names, values)] if len(names) == len(values) else None
+    if fmt == "kv":
+        pieces = raw.split("|")
+        return [_plain_entry(p[:at], p[at + 1 :]) for p in pieces if (at := p.index(":"))] if all(p.find(":") > 0 for p in pieces) else None
+    return None
 
-def _semi_entries(raw: Column, header: Column) -> Column:
-    names, values = F.split(header, ";"), F.split(raw, ";")
-    return F.when(F.size(names) == F.size(values), F.zip_with(names, values, lambda n, v: _plain_entry(F.trim(n), v)))
 
+_ENTRY = pa.struct([("name", pa.string()), ("field", pa.string()), ("kind", pa.string()), ("value", pa.string())])
 
-def _kv_entries(raw: Column) -> Column:
-    pieces = F.split(raw, r"\|")
-    return F.when(F.forall(pieces, lambda p: F.instr(p, ":") > 1), F.transform(pieces, lambda p: _plain_entry(F.trim(F.substring_index(p, ":", 1)), F.regexp_replace(p, r"^[^:]*:", ""))))
 
+def entries(files: DataFrame, records: DataFrame, fields: Sequence[str] | None = None, aliases: Mapping[str, Sequence[str]] = ALIASES) -> DataFrame:
+    """One row per line: file_id, stream, file_seq, line_no, readable, entries array<struct<name, field, kind, value>>, raw.
 
-def entries(files: DataFrame, records: DataFrame) -> DataFrame:
-    """One row per line: file_id, stream, file_seq, line_no, readable, entries array<struct<name, kind, value>>."""
-    f = files.select("file_id", "stream", "file_seq", "fmt", "header")
-    r = records.select("file_id", "line_no", "raw")
-    lines = r.join(f, "file_id", "left").withColumn(
-        "entries",
-        F.when(F.col("fmt") == "jsonl", _json_entries(F.col("raw")))
-        .when(F.col("fmt") == "semi", _semi_entries(F.col("raw"), F.col("header")))
-        .when(F.col("fmt") == "kv", _kv_entries(F.col("raw"))),
-    )
-    lines = lines.withColumn(
-        "entries",
-        F.transform(
-            "entries",
-            lambda e: F.struct(e["name"].alias("name"), F.when(F.coalesce(e["value"], F.lit("")) == "", "missing").otherwise(e["kind"]).alias("kind"), e["value"].alias("value")),
-        ),
-    )
-    once = lines.groupBy("file_id", "line_no").agg(
-        F.max_by(F.struct("stream", "file_seq", "entries", "raw"), F.struct(F.col("entries").isNotNull(), F.col("raw"))).alias("line")
-    )
-    return once.select("file_id", "line_no", "line.stream", "line.file_seq", F.col("line.entries").isNotNull().alias("readable"), "line.entries", "line.raw")
+    fields: the logical fields whose entries are wanted, so that no others are exchanged; None: all.
+    """
+    known = {a: field for field, more in aliases.items() for a in (field, *more)}
+    wanted = None if fields is None else frozenset(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meant: dict[str, str] = {}
+        for batch in batches:
+            columns: list[list[str | None]] = [[], [], [], []]
+            ends, ok = [0], []
+            for fmt, header, raw in zip(*(batch.column(c).to_pylist() for c in ("fmt", "header", "raw"))):
+                found = line_entries(fmt, header, raw)
+                ok.append(found is not None)
+                for name, kind, value in found or ():
+                    if (field := meant.get(name)) is None:
+                        if len(meant) > 100_000:  # names that are data don't fill the memory
+                            meant.clear()
+                        plain = simple_name(name)
+                        field = meant[name] = known.get(plain, plain)
+                    if wanted is None or field in wanted:
+                        for held, x in zip(columns, (name, field, kind, value)):
+                            held.append(x)
+                ends.append(len(columns[0]))
+            parts = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], fields=list(_ENTRY))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+            kept = ("file_id", "line_no", "stream", "file_seq", "raw")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(ok), lists], names=[*kept, "readable", "entries"])
+
+    joined = records.select("file_id", "line_no", "raw").join(files.select("file_id", "stream", "file_seq", "fmt", "header"), "file_id", "left")
+    kinds = dict(joined.dtypes)
+    kept = ", ".join(f"{c} {kinds[c]}" for c in ("file_id", "line_no", "stream", "file_seq", "raw"))
+    lines = joined.mapInArrow(run, f"{kept}, readable boolean, entries array<struct<name: string, field: string, kind: string, value: string>>")
+    once = lines.groupBy("file_id", "line_no").agg(F.max_by(F.struct("stream", "file_seq", "readable", "entries", "raw"), F.struct("readable", "raw")).alias("line"))
+    return once.select("file_id", "line_no", "line.*")
 
 
 def catalogue(files: DataFrame, records: DataFrame, fields: Sequence[str] | None = TRACKED) -> DataFrame:
     """For each file and logical field: lines that carry it, of how many readable, and the usual spelling and type.
 
-    Counts are aggregated by (file, field, spelling, type) before anything is compared, so a hot stream or file
-    costs one small row per spelling. fields None: every field.
+    Lines are read once; counts are aggregated by (file, field, spelling, type) before anything is compared, so a hot
+    stream or file costs one small row per spelling. fields None: every field.
     """
-    lines = entries(files, records).filter("readable")
-    parts = lines.select("file_id", "line_no", F.inline("entries")).withColumn("field", logical(F.col("name")))
-    if fields is not None:
-        parts = parts.filter(F.col("field").isin(*fields))
-    readable = lines.groupBy("file_id").agg(F.count("*").alias("n_readable"))
-    spelt = parts.groupBy("file_id", "field", "name", "kind").agg(F.count("*").alias("n"))
-    by_name = spelt.groupBy("file_id", "field", "name").agg(F.sum("n").alias("n"))
-    name = by_name.groupBy("file_id", "field").agg(F.sum("n").alias("n_carry"), F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("name"))
-    by_kind = spelt.filter("kind <> 'missing'").groupBy("file_id", "field", "kind").agg(F.sum("n").alias("n"))
-    kind = by_kind.groupBy("file_id", "field").agg(F.min_by("kind", F.struct(-F.col("n"), F.col("kind"))).alias("kind"))
-    return (
-        name.join(kind, ["file_id", "field"], "left")
-        .join(readable, "file_id")
-        .select("file_id", "field", "name", "kind", "n_carry", "n_readable", (2 * F.col("n_carry") > F.col("n_readable")).alias("present"))
+    line = F.array(F.struct(F.lit("").alias("name"), F.lit(None).cast("string").alias("field"), F.lit("line").alias("kind"), F.lit("").alias("value")))
+    lines = entries(files, records, fields).filter("readable").select("file_id", F.inline(F.concat(line, "entries")))
+    spelt = lines.groupBy("file_id", "field", "name", "kind").agg(F.count("*").alias("n"))
+    own = lambda *more: W.partitionBy("file_id", *more)
+    told = spelt.repartition("file_id").select(
+        "*", F.max(F.when(F.col("kind") == "line", F.col("n"))).over(own()).alias("n_readable"), F.sum("n").over(own("field")).alias("n_carry"),
+        F.sum("n").over(own("field", "name")).alias("n_name"), F.sum("n").over(own("field", "kind")).alias("n_kind"),
+    )
+    best = lambda c, n: F.struct(-F.col(n), F.col(c))
+    typed = F.col("kind") != "missing"
+    usual = told.filter("field is not null").groupBy("file_id", "field").agg(
+        F.min_by("name", best("name", "n_name")).alias("name"), F.min_by("kind", F.when(typed, best("kind", "n_kind"))).alias("kind"), F.first("n_carry").alias("n_carry"), F.first("n_readable").alias("n_readable")
     )
+    return usual.withColumn("present", 2 * F.col("n_carry") > F.col("n_readable"))
 
 
 def _grid(files: DataFrame, found: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -208,8 +232,8 @@ def unified(files: DataFrame, records: DataFrame, aliases: Mapping[str, Sequence
 
     The casts are generated from the alias table. Names outside it are kept as text in the map `others`.
     """
-    lines = entries(files, records)
-    named = F.transform(F.coalesce("entries", F.expr("array()")), lambda e: F.struct(logical(e["name"], aliases).alias("key"), F.when(e["kind"] != "missing", e["value"]).alias("value")))
+    lines = entries(files, records, aliases=aliases)
+    named = F.transform("entries", lambda e: F.struct(e["field"].alias("key"), F.when(e["kind"] != "missing", e["value"]).alias("value")))
     lines = lines.withColumn("named", named)
     first = lambda field: F.try_element_at(F.transform(F.filter("named", lambda e: e["key"] == field), lambda e: e["value"]), F.lit(1))
     columns = [cast(first(field), UNITS.get(field, "text")).alias(field) for field in aliases]
@@ -220,8 +244,8 @@ def unified(files: DataFrame, records: DataFrame, aliases: Mapping[str, Sequence
 
 def others(files: DataFrame, records: DataFrame, aliases: Mapping[str, Sequence[str]] = ALIASES) -> DataFrame:
     """(stream, file_seq, file_id, line_no, pos, name, kind, value) of each value whose name isn't in the alias table, in the line's order."""
-    each = entries(files, records).select("stream", "file_seq", "file_id", "line_no", F.posexplode("entries").alias("pos", "e"))
-    return each.filter(~logical(F.col("e.name"), aliases).isin(*aliases)).select("stream", "file_seq", "file_id", "line_no", "pos", "e.name", "e.kind", "e.value")
+    each = entries(files, records, aliases=aliases).select("stream", "file_seq", "file_id", "line_no", F.posexplode("entries").alias("pos", "e"))
+    return each.filter(~F.col("e.field").isin(*aliases)).select("stream", "file_seq", "file_id", "line_no", "pos", "e.name", "e.kind", "e.value")
 
 
 def report(files: DataFrame, records: DataFrame, fields: Sequence[str] = TRACKED) -> dict[str, DataFrame]:

@@ -33,10 +33,6 @@ def rows(session: str, state: dict[str, list[int]], durable: dict[str, list[int]
     return pd.DataFrame(out, columns=["session_id", "bucket", "value", "score", "last_turn"])
 
 
-def _turns(pdf: pd.DataFrame) -> list[tuple[int, list[str]]]:
-    return [(int(t), g["value"].dropna().tolist()) for t, g in pdf.sort_values("turn").groupby("turn")]
-
-
 def remembered(values: DataFrame) -> DataFrame:
     """Final memory of each session from (session_id, turn, value).
 
@@ -67,14 +63,29 @@ def remembered(values: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, SCHEMA)
 
 
-def stream(values: DataFrame) -> DataFrame:
-    """The same over a stream of (session_id, turn, value): state per session, updated with each batch's turns."""
+def stream(values: DataFrame, reorder: int = 64) -> DataFrame:
+    """The same over a stream of (session_id, turn, value); each batch gives the whole memory of the sessions it has rows of.
+
+    A session's last `reorder` turns wait in its state, so that turns which arrive later than a higher one are still
+    folded in order and the result is that of the batch form; one that comes later than that is folded when it comes.
+    """
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        hot, durable = ({k: [s, t] for k, s, t in zip(*x)} for x in (state.get[:3], state.get[3:])) if state.exists else ({}, {})
-        fold(hot, durable, _turns(pd.concat(list(batches))))
-        state.update(tuple([f(k, v) for k, v in held.items()] for held in (hot, durable) for f in (lambda k, v: k, lambda k, v: v[0], lambda k, v: v[1])))
+        old = state.get if state.exists else ([],) * 8
+        hot, durable = ({k: [s, t] for k, s, t in zip(*x)} for x in (old[:3], old[3:6]))
+        waiting: dict[int, list[str]] = {}
+        for turn, value in zip(old[6], old[7]):
+            waiting.setdefault(turn, []).extend([value] if value else [])
+        for pdf in batches:
+            for turn, value in zip(pdf["turn"], pdf["value"]):
+                waiting.setdefault(int(turn), []).extend([value] if isinstance(value, str) and value else [])
+        ripe = [t for t in sorted(waiting) if t <= max(waiting) - reorder]
+        fold(hot, durable, [(t, waiting.pop(t)) for t in ripe])
+        pairs = [(t, v) for t, vs in waiting.items() for v in (vs or [""])]  # "": a turn without values
+        state.update((*([f(k, v) for k, v in held.items()] for held in (hot, durable) for f in (lambda k, v: k, lambda k, v: v[0], lambda k, v: v[1])), [t for t, _ in pairs], [v for _, v in pairs]))
+        fold(hot, durable, sorted(waiting.items()))
         yield rows(key[0], hot, durable)
 
-    kept = "hv array<string>, hs array<int>, ht array<int>, dv array<string>, ds array<int>, dt array<int>"
-    return values.select("session_id", "turn", "value").groupBy("session_id").applyInPandasWithState(run, SCHEMA, kept, "update", "NoTimeout")
+    kept = "hv array<string>, hs array<int>, ht array<int>, dv array<string>, ds array<int>, dt array<int>, wt array<int>, wv array<string>"
+    usable = values.select("session_id", "turn", "value").filter("session_id is not null and turn is not null")
+    return usable.groupBy("session_id").applyInPandasWithState(run, SCHEMA, kept, "update", "NoTimeout")

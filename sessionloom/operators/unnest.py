@@ -15,6 +15,7 @@ deep or long payloads are walked without recursion limits other than the JSON pa
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -61,21 +62,29 @@ def triples(value: Any, path: str = "", at: tuple[int, ...] = ()) -> Iterator[Tr
             yield p, o, v
 
 
-def grouped(found: Iterable[Triple], ancestors: Iterable[str]) -> dict[str, dict[tuple[int, ...], dict[str, Any]]]:
-    """Triples pivoted by repeated ancestor: ancestor -> ordinals -> {relative path: value}.
+def above(path: str) -> list[tuple[str, str]]:
+    """The repeated ancestors of a path, each with the path relative to it: every prefix that ends in an array step."""
+    out, at = [], path.find("[]")
+    while at >= 0:
+        out.append((path[: at + 2], path[at + 2 :].lstrip(".")))
+        at = path.find("[]", at + 2)
+    return out
+
+
+def grouped(found: Iterable[Triple]) -> defaultdict[str, dict[tuple[int, ...], dict[str, Any]]]:
+    """Triples pivoted by the repeated ancestors that the data have: ancestor -> ordinals -> {relative path: value}.
 
-    A triple belongs to every listed ancestor above it, with the ancestor's share of the ordinals; what is below a
-    further array keeps its relative path with [] and is left to the table of that array.
+    A triple makes a row of each ancestor above it, with the ancestor's share of the ordinals; its value goes to the
+    deepest one, so what is below a further array is left to the table of that array.
     """
-    tables: dict[str, dict[tuple[int, ...], dict[str, Any]]] = {a: {} for a in ancestors}
-    depth = {a: a.count("[]") for a in tables}
+    tables: defaultdict[str, dict[tuple[int, ...], dict[str, Any]]] = defaultdict(dict)
     where: dict[str, list[tuple[str, str]]] = {}
     for path, at, value in found:
         if (own := where.get(path)) is None:
-            own = where[path] = [(a, path[len(a) :].lstrip(".")) for a in tables if path == a or path.startswith((a + ".", a + "["))]
-        for a, rest in own:
-            row = tables[a].setdefault(at[: depth[a]], {})
-            if "[]" not in rest:
+            own = where[path] = above(path)
+        for depth, (a, rest) in enumerate(own, 1):
+            row = tables[a].setdefault(at[:depth], {})
+            if depth == len(own):
                 row[rest] = value
     return tables
 
@@ -100,9 +109,7 @@ def conversation(payload: str | None) -> dict[str, dict[tuple[int, ...], dict[st
     doc = document(payload)
     if doc is None:
         return None
-    found = grouped(triples(doc), (MESSAGES, CONTENT, ITEMS))
-    found[MESSAGES].pop((), None)
-    found[CONTENT].pop((), None)
+    found = grouped(triples(doc))
     blocks, items = {}, dict(found[ITEMS])
     by_message: dict[int, list[tuple[int, ...]]] = {}
     for at in found[CONTENT]:
@@ -297,29 +304,72 @@ def payload_members(records: DataFrame, key: str = "record_id", payload: str = "
     return _once(records, key, payload, _member_rows, _MEMBER)
 
 
-def turn_blocks(turns: DataFrame, bodies: bool = False) -> DataFrame:
-    """The blocks of recorded turns: tool_uses as msg_pos 0, tool_results as msg_pos 1, one row each, results linked to their calls.
+def turn_positions(turns: DataFrame) -> DataFrame:
+    """The blocks of recorded turns, results linked to their calls: rec_key and the position columns of _BLOCK.
 
-    Only ids are read unless bodies adds the other columns of _BLOCK; redelivered turns, (session_id, turn_index), count
+    A turn is taken as a record of two messages, its tool_uses and its tool_results, and goes the way of the payloads:
+    triples, grouped by their repeated ancestors. Only ids are read; redelivered turns, (session_id, turn_index), count
     once. A null id is linked to nothing.
     """
-    whole = ("tool_uses", "tool_results") if bodies else ()
-    ids = turns.select("session_id", "turn_index", F.col("tool_uses.id").alias("uses"), F.col("tool_results.tool_use_id").alias("results"), *whole)
+    ids = turns.select("session_id", "turn_index", F.col("tool_uses.id").alias("uses"), F.col("tool_results.tool_use_id").alias("results")).dropDuplicates(["session_id", "turn_index"])
+    none = F.lit(None).cast("string")
+    message = lambda role, kind, column, call: F.struct(F.lit(role).alias("role"), F.transform(column, lambda x: F.struct(F.lit(kind).alias("type"), (x if call else none).alias("id"), (none if call else x).alias("tool_use_id"))).alias("content"))
+    record = F.struct(F.array(message("assistant", "tool_use", "uses", True), message("user", "tool_result", "results", False)).alias("messages"))
+    names = _BLOCK.split(", ")[:5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [_positions(doc) for doc in batch.column(1).to_pylist()]
+            columns = list(zip(*(x for rows in lists for x in rows))) or [()] * len(names)
+            keys = batch.column(0).take(pa.array([i for i, rows in enumerate(lists) for _ in rows], pa.int32()))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.int32()) for c in columns)], names=["rec_key", *(n.split(" ")[0] for n in names)])
+
+    return ids.select(_turn_key(), record.alias("record")).mapInArrow(run, ", ".join(["rec_key string", *names]))
+
+
+def _positions(doc: dict[str, Any]) -> list[tuple[int, ...]]:
+    tables = conversation(doc) or {"blocks": {}}
+    calls = linked(tables["blocks"])
+    return [(*at, -1, *calls.get(at, (-1, -1))) for at in tables["blocks"]]
+
+
+def turn_blocks(turns: DataFrame, bodies: bool = False) -> DataFrame:
+    """The blocks of recorded turns: tool_uses as msg_pos 0, tool_results as msg_pos 1, results linked to their calls.
+
+    Without bodies these are `turn_positions`; with them all columns of _BLOCK, for which the typed columns are
+    flattened by generators. Redelivered turns, (session_id, turn_index), count once. A null id is linked to nothing.
+    """
+    if not bodies:
+        return turn_positions(turns)
+    ids = turns.select("session_id", "turn_index", F.col("tool_uses.id").alias("uses"), F.col("tool_results.tool_use_id").alias("results"), "tool_uses", "tool_results")
     once = ids.dropDuplicates(["session_id", "turn_index"])
-    none = F.lit(-1)
+    none, nothing, no_ids = F.lit(-1), F.lit(None).cast("int"), F.array().cast("array<string>")
     last = lambda x: F.size("uses") - F.array_position(F.reverse("uses"), x).cast("int")
     text = lambda x: (F.lit(None) if x is None else x).cast("string")
-    more = lambda m, b: [] if not bodies else [text(x).alias(n) for n, x in zip(_BLOCK_FIELDS[5:], _turn_columns(m, b))]
+    more = lambda m, b: [text(x).alias(n) for n, x in zip(_BLOCK_FIELDS[5:], _turn_columns(m, b))]
     row = lambda m, b, call: F.struct(F.lit(m).alias("msg_pos"), b.cast("int").alias("block_pos"), none.alias("sub_pos"), F.when(call.isNull(), -1).otherwise(0).alias("call_msg_pos"), F.coalesce(call, none).alias("call_block_pos"), *more(m, b))
-    nothing = F.lit(None).cast("int")
-    uses = F.transform(F.coalesce("uses", F.array().cast("array<string>")), lambda _, i: row(0, i, nothing))
-    results = F.transform(
-        F.coalesce("results", F.array().cast("array<string>")),
-        lambda x, i: row(1, i, F.when(F.array_contains(F.coalesce("uses", F.array().cast("array<string>")), x), last(x))),
-    )
+    uses = F.transform(F.coalesce("uses", no_ids), lambda _, i: row(0, i, nothing))
+    results = F.transform(F.coalesce("results", no_ids), lambda x, i: row(1, i, F.when(F.array_contains(F.coalesce("uses", no_ids), x), last(x))))
     return once.select(_turn_key(), F.inline(F.concat(uses, results)))
 
 
+def path_catalogue(records: DataFrame, key: str = "record_id", payload: str = "payload") -> DataFrame:
+    """Every path of the payloads: its table, the repeated ancestor, its name there, its values' kinds and in how many records and rows it stands."""
+
+    def rows(text: str | None) -> list[tuple] | None:
+        doc = parse(text)
+        if not isinstance(doc, (dict, list)):
+            return None
+        n: Counter = Counter()
+        for path, _, value in triples(doc):
+            a = above(path)
+            n[(a[-1] if a else ("", path)) + (_kind(value),)] += 1
+        return [(*k, c) for k, c in n.items()]
+
+    found = _once(records, key, payload, rows, "ancestor string, member string, kind string, n int")
+    return found.groupBy("ancestor", "member", "kind").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_rows"))
+
+
 def _turn_key() -> Column:
     return F.concat_ws("/", "session_id", F.col("turn_index").cast("string")).alias("rec_key")
 

@@ -54,6 +54,11 @@ def _turn_results(turns: DataFrame) -> DataFrame:
     return unnest.turn_blocks(turns, bodies=True).filter("msg_pos = 1").select("rec_key", "msg_pos", "block_pos", "call_msg_pos", "call_block_pos", "tool_use_id", F.col("body").alias("content"))
 
 
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The paths that the payloads have, by repeated ancestor: the tables and columns found in the data."""
+    return unnest.path_catalogue(table(spark, d, "replay_records"))
+
+
 # Messages, blocks, items and results point to their parents by the shorter key, results and items to their calls.
 TABLES = {
     "p2_messages": _p2(unnest.payload_messages, unnest.turn_messages),
@@ -62,5 +67,5 @@ TABLES = {
     "p2_items": p2_items,
     "p2_results": _p2(unnest.payload_contents, _turn_results),
 }
-QUERIES = TABLES | {"p1_found": p1_found, "p1_table": p1_table, "p1_others": p1_others, "p1_lifespans": p1_lifespans, "p2_found": p2_found, "p2_blocks": p2_messages}
+QUERIES = TABLES | {"p1_found": p1_found, "p1_table": p1_table, "p1_others": p1_others, "p1_lifespans": p1_lifespans, "p2_found": p2_found, "p2_blocks": p2_messages, "p2_paths": p2_paths}
 ORACLES: dict[str, str] = {}

@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import shared_folder
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
+def tables(spark: SparkSession, folder: str, name: str, each: int | None = None) -> DataFrame:
+    """A table, one parquet file or a folder of them, as a stream of its files, `each` of them in a micro-batch."""
+    schema, place = spark.read.parquet(f"{folder}/{name}.parquet").schema, Path(f"{folder}/{name}.parquet")
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", each) if each else reader
+    return reader.parquet(str(place)) if place.is_dir() else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def events(spark: SparkSession, folder: str, each: int | None = None) -> DataFrame:
     """The table events as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return tables(spark, folder, "events", each).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(stream: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -33,8 +43,14 @@ def deduplicated(stream: DataFrame, *keys: str, late: str = "1 day") -> DataFram
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What the stream gives for all that is there now, written to and read from the shared folder."""
+def drained(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """What the stream gives for all that is there now, written to and read from the shared folder.
+
+    append: the rows of all micro-batches. complete: those of the last one. update: for each value of `keys` the rows
+    of the last batch that had some.
+    """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys that later rows replace")
     spark, place = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     out, kind = f"{place}/out", stream.schema
 
@@ -43,4 +59,10 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(kind).parquet(out).select(*kind.names)
+    rows = spark.read.schema(StructType([*kind.fields, StructField("batch", IntegerType())])).parquet(out)
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.filter(F.col("batch") == F.lit(last))
+    elif mode == "update":
+        rows = rows.join(rows.groupBy(*keys).agg(F.max("batch").alias("batch")), [*keys, "batch"], "left_semi")
+    return rows.select(*kind.names)

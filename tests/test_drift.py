@@ -56,4 +56,13 @@ def test_empty_tables_and_long_lines(spark):
 def test_values_under_unknown_names_are_kept(spark, rows):
     f, r = frames(spark, [("a", "s", 1, "jsonl", None)], [("a", 1, json.dumps({"session_id": "z", "New Name": 1, "new_name": "2", "a": {"b": {"c": {"d": {"e": 5}}}}}))])
     got = sorted((x.name, x.kind, x.value) for x in drift.others(f, r).collect())
-    assert got == [("New Name", "whole", "1"), ("a.b.c", "text", '{"d":{"e":5}}'), ("new_name", "text", "2")]
+    assert got == [("New Name", "whole", "1"), ("a.b.c.d.e", "whole", "5"), ("new_name", "text", "2")]
+
+
+def test_members_at_any_depth(spark, rows):
+    deep = {"bpt": 5}
+    for k in "fedcba":
+        deep = {k: deep}
+    f, r = frames(spark, [("a", "s", 1, "jsonl", None), ("b", "s", 2, "jsonl", None)], [("a", 1, '{"session_id":"z"}'), ("b", 1, json.dumps({"session_id": "z", "baseline": {"prompt": {"tokens": 1}}} | deep))])
+    assert ("a.b.c.d.e.f.bpt", "whole", "5") in [(x.name, x.kind, x.value) for x in drift.others(f, r).collect()]
+    assert rows(drift.changes(f, r)) == [("b", "baseline_prompt_tokens", "added")]
