@@ -96,6 +96,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))], names=["tool_use_id", "shingles"])
 
 
+def parted(prints: DataFrame) -> DataFrame:
+    """prints, where sets that share a node but not their second hash take that for their node: a node is one set by 128 bits."""
+    clash = prints.groupBy("node").agg(F.min("node2").alias("a"), F.max("node2").alias("b")).filter("a <> b").select("node", F.lit(True).alias("clash"))
+    if clash.isEmpty():
+        return prints
+    return cut(prints.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.col("node2")).otherwise(F.col("node"))).drop("clash"))
+
+
 def _signatures(classes: DataFrame) -> DataFrame:
     """(key, node): the masked vector of each class in each table."""
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("vector")[i], F.col("vector")[j]) for t, (i, j) in enumerate(masks())])
@@ -152,8 +160,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, contents: DataFrame, thresho
 def groups(results: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(keep_id, member_id) of near-duplicate contents, from (tool_use_id, content)."""
     long = results.select("tool_use_id", "content").filter((F.length("content") >= least) & F.col("tool_use_id").isNotNull())
-    prints = cut(long.mapInArrow(_prints, _PRINTS))
-    ids = prints.select("tool_use_id", "node", "node2").dropDuplicates(["tool_use_id"])
+    prints = parted(cut(long.mapInArrow(_prints, _PRINTS)))
+    ids = prints.select("tool_use_id", "node").dropDuplicates(["tool_use_id"])
     classes = cut(prints.groupBy("node").agg(F.min("tool_use_id").alias("tool_use_id"), F.first("vector").alias("vector")))
     found, hot = buckets(classes)
     pairs = _pairs(found)

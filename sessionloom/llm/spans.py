@@ -31,6 +31,8 @@ from pyspark.sql.window import Window as W
 
 from ..session import cut
 from .fmindex import shared_stretches
+from .neardup import parted
+from .semijoin import sifted
 from .words import chunks, mix, points, powers
 
 LEAST, PROBE = 240, 32
@@ -75,7 +77,7 @@ def anchors(texts: list[str], least: int = LEAST, probe: int = PROBE) -> tuple[n
     return h[at], (at - begin[text]).astype(np.int32), np.bincount(text, minlength=len(texts))
 
 
-_PRINTS = "tool_use_id string, node bigint, size int, anchors array<bigint>, positions array<int>"
+_PRINTS = "tool_use_id string, node bigint, node2 bigint, size int, anchors array<bigint>, positions array<int>"
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +86,10 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in chunks(texts):
             part = texts[a:b]
             h, at, count = anchors(part)
-            node = [int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in part]
+            node = np.frombuffer(b"".join(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in part), np.int64).reshape(-1, 2)
             ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), at)]
-            yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(node, pa.int64()), pa.array([len(t) for t in part], pa.int32()), *lists], names=["tool_use_id", "node", "size", "anchors", "positions"])
+            yield pa.RecordBatch.from_arrays([ids[a:b], *(pa.array(node[:, k].copy()) for k in (0, 1)), pa.array([len(t) for t in part], pa.int32()), *lists], names=["tool_use_id", "node", "node2", "size", "anchors", "positions"])
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +147,7 @@ def spans(results: DataFrame) -> DataFrame:
     """(tool_use_id, span_start, span_end) of the maximal shared stretches, from (tool_use_id, content)."""
     spark = results.sparkSession
     long = results.select("tool_use_id", "content").filter((F.length("content") >= LEAST) & F.col("tool_use_id").isNotNull())
-    prints = cut(long.mapInArrow(_prints, _PRINTS))
+    prints = parted(cut(long.mapInArrow(_prints, _PRINTS)))
     nodes = prints.groupBy("node").agg(F.min("tool_use_id").alias("tool_use_id"), F.max("tool_use_id").alias("last_id"), F.first("size").alias("size"), F.first("anchors").alias("anchors"), F.first("positions").alias("positions"))
     marks = nodes.select("node", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("positions").alias("pos"))))
     marks = marks.toDF("node", "anchor", "pos")
@@ -164,7 +166,8 @@ def spans(results: DataFrame) -> DataFrame:
 
     where = single.groupBy("node", "crowded").agg(F.collect_list(F.struct("label", "pos")).alias("marks"))
     first = nodes.select("node", "tool_use_id")
-    texts = where.join(first, "node").join(long, "tool_use_id").dropDuplicates(["node", "crowded"]).select("node", "content", "marks", "crowded")
+    wanted = cut(where.join(first, "node"))
+    texts = wanted.join(sifted(long, wanted, "tool_use_id", ["content"]), "tool_use_id").dropDuplicates(["node", "crowded"]).select("node", "content", "marks", "crowded")
     regions = texts.filter("not crowded").drop("crowded").mapInArrow(_regions, "label bigint, node bigint, start int, region string")
     found = regions.withColumn("shard", F.pmod(F.xxhash64("label"), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: _shard(t), "node bigint, start bigint, end bigint")
     if crowded:
