@@ -33,7 +33,7 @@ def tool_events(turns: DataFrame) -> DataFrame:
         "session_id", "turn", "pos", "model", "recorded_at", u["id"].alias("tool_use_id"), T.tool_name(u["name"]).alias("tool"), T.family(u["name"]).alias("family"),
         T.plain_path(T.path_argument(args), F.col("workspace_root")).alias("path"), T.query_argument(args).alias("query"), T.command_argument(args).alias("command"),
         args["offset"].try_cast("int").alias("offset"), args["limit"].try_cast("int").alias("n_lines"), "workspace_root",
-        F.when(F.size(result) > 0, result[0]["content"]).alias("raw"),
+        F.when(F.size(result) > 0, result[0]["content"]).alias("raw"), args.alias("args"),
     )
 
 

@@ -1,0 +1,5 @@
+"""Queries of the core by name, and their SQL forms."""
+
+from . import evidence, identities, ledger, problems, sessions, texts
+
+MODULES = (problems, sessions, ledger, texts, evidence, identities)

@@ -76,9 +76,9 @@ u1 AS (SELECT *, regexp_replace(lower(regexp_replace(trim(u.name), '([a-z0-9])([
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(coalesce(u.input['path'], u.input['file_path'], u.input['search_path'])), '\\\\', '/', 'g'), '^file://', ''), '/+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g'), '[^/]+/\\.\\./', '', 'g') AS p0,
   coalesce(u.input['query'], u.input['pattern']) AS query,
   nullif(regexp_extract(regexp_replace(regexp_replace(regexp_replace(trim(coalesce(u.input['command'], u.input['cmd'])), '^(?:env\\s+|sudo\\s+|[A-Za-z_][A-Za-z0-9_]*=\\S*\\s+)+', ''), '^uv\\s+run\\s+', ''), '^python3?\\s+-m\\s+', ''), '^(?:\\S*/)?([^\\s/]+)', 1), '') AS program,
-  list_filter(tool_results, lambda r: r.tool_use_id = u.id)[1].content AS raw FROM u0),
+  coalesce(u.input['command'], u.input['cmd']) AS command, u.input AS args, list_filter(tool_results, lambda r: r.tool_use_id = u.id)[1].content AS raw FROM u0),
 e AS (SELECT session_id, turn, pos, workspace_root, u.id AS tool_use_id, tool, CASE WHEN tool IS NULL THEN NULL {_FAMILY} ELSE 'other' END AS family,
-  CASE WHEN starts_with(p0, workspace_root || '/') THEN substr(p0, length(workspace_root) + 2) ELSE p0 END AS path, query, program, raw,
+  CASE WHEN starts_with(p0, workspace_root || '/') THEN substr(p0, length(workspace_root) + 2) ELSE p0 END AS path, query, program, raw, command, args,
   try_cast(u.input['offset'] AS INT) AS a, try_cast(u.input['limit'] AS INT) AS n_lines FROM u1),
 x AS (SELECT *, CASE WHEN family IN ('file_read', 'edit') THEN 'file|' || coalesce(path, '') WHEN family = 'search' THEN 'search|' || coalesce(query, '') || '|' || coalesce(path, '')
   WHEN family = 'command' THEN 'command|' || coalesce(program, '') ELSE 'other|' || coalesce(path, '') END AS target, left(sha256(raw), 16) AS h, floor(coalesce(length(raw), 0) / 4)::BIGINT AS n_tokens FROM e)

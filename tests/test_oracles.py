@@ -10,10 +10,10 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
-from sessionloom.plans import evidence, ledger, problems, sessions, texts
+from sessionloom.plans import MODULES
 
-CORE = problems.ORACLES | sessions.ORACLES | ledger.ORACLES | texts.ORACLES | evidence.ORACLES
-QUERIES = problems.QUERIES | sessions.QUERIES | ledger.QUERIES | texts.QUERIES | evidence.QUERIES
+CORE = {k: sql for m in MODULES for k, sql in m.ORACLES.items()}
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def plain(v):
