@@ -1,5 +1,5 @@
 """Queries of the core by name, and their SQL forms."""
 
-from . import dedup, evidence, identities, ledger, problems, sessions, texts
+from . import conversation, dedup, evidence, identities, ledger, problems, sessions, texts
 
-MODULES = (problems, sessions, ledger, texts, evidence, identities, dedup)
+MODULES = (problems, sessions, ledger, texts, evidence, identities, dedup, conversation)
