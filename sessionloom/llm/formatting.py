@@ -22,6 +22,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import suppress
 from hashlib import blake2b
 from typing import Any
 
@@ -134,7 +135,10 @@ def pieces(text: str, keep: bool = False) -> Iterator[str | _Object]:
             after = found[0][2]
         except json.JSONDecodeError as e:
             begins, after = _closed(text, at, max(e.pos, at + 1))
-            found = [(a, *decode(text, a)) for a in begins]
+            found = []
+            for a in begins:
+                with suppress(ValueError, RecursionError):  # braces of a string that broke off look like an object's
+                    found.append((a, *decode(text, a)))
         except (ValueError, RecursionError):  # digits beyond what an integer may have, or nested too deep
             found, after = [], _balanced(text, at)
         for begin, value, end in found:

@@ -18,6 +18,8 @@ def test_objects_within_texts():
     assert parts('{"a":{"b":1},"c":[{"d":2},{"e":3') == ['{"a":', {}, ',"c":[', {}, ',{"e":3']
     assert parts('x{y{"k":1}z') == ["x{y", {}, "z"] and parts("{}") == [{}] and parts("") == []
     assert parts('{"a": "{}", bad') == ['{"a": "{}", bad']
+    broken = '{"a": {"b": 1}, "c": "x {y} z\x01 ... {\\"q\\"} \n", "d": {"e": 2}}'
+    assert {} in parts(broken)
 
 
 @pytest.mark.parametrize("unit", ['{"a":', '{"a":[', '{"a":{"b":1},"c":', '[{"x":"', '{"a":"{', "{ ", '{"a":1,', "{", '{"a":"\\"{'])
