@@ -7,11 +7,14 @@ session's rows meet in one task only where the order of the whole session matter
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from .stretches import STRETCH, ahead, carried, numbered, parted
 
 
 def once(turns: DataFrame) -> DataFrame:
@@ -72,14 +75,12 @@ def novelty(events: DataFrame) -> DataFrame:
     return e.withColumn("seen", seen).groupBy("session_id").agg(F.count("*").alias("n_events"), F.count_distinct("target").alias("n_targets"), F.sum(F.col("seen").cast("int")).alias("n_seen_before"))
 
 
-def loops(events: DataFrame, length: int = 3) -> DataFrame:
+def loops(events: DataFrame, length: int = 3, stretch: int = STRETCH) -> DataFrame:
     """Events that make their tool's and target's `length`-th use in a row."""
-    e = with_target(events).filter("family is not null").withColumn("key", F.concat_ws("|", "tool", "target"))
-    line = W.partitionBy("session_id").orderBy("turn", "pos")
-    hit = F.lit(True)
-    for k in range(1, length):
-        hit = hit & (F.col("key") == F.lag("key", k).over(line))
-    return e.withColumn("loop", F.coalesce(hit, F.lit(False))).filter("loop").select("session_id", "turn", "pos", "tool", "target")
+    e = with_target(events).filter("family is not null").withColumn("key", F.concat_ws("|", "tool", "target")).select("session_id", "turn", "pos", "tool", "target", "key")
+    e = ahead(parted(e, "turn", stretch), "session_id", ("turn", "pos"), ("turn", "pos", "tool", "target", "key"), length - 1)
+    found = e.filter(F.forall("next", lambda x: F.coalesce(x["key"] == F.col("key"), F.lit(False)))).select("session_id", F.col("next")[length - 2].alias("x"))
+    return found.select("session_id", "x.turn", "x.pos", "x.tool", "x.target")
 
 
 def recently_edited(events: DataFrame, steps: int = 2) -> DataFrame:
@@ -104,7 +105,8 @@ def dedup_opportunities(events: DataFrame) -> DataFrame:
     Three as-of look-ups, each a lag over its own key; what could have been saved is the estimate of the text's tokens.
     """
     e = with_target(events).filter("raw is not null and family is not null")
-    e = e.withColumn("identity", F.concat_ws("|", "family", "target")).withColumn("h", T.digest(F.col("raw"))).withColumn("c", T.digest(T.canonical(F.col("raw"), F.col("workspace_root"))))
+    identity, h, c = F.concat_ws("|", "family", "target"), T.digest(F.col("raw")), T.digest(T.canonical(F.col("raw"), F.col("workspace_root")))
+    e = e.select("session_id", "turn", "pos", "tool", "family", "target", identity.alias("identity"), h.alias("h"), c.alias("c"), T.token_estimate(F.col("raw")).alias("n_tokens"))  # no text goes on
     before = lambda value, *key: F.lag(value).over(W.partitionBy("session_id", *key).orderBy("turn", "pos"))
     e = e.withColumn("last_h", before("h", "identity")).withColumn("last_c", before("c", "identity")).withColumn("same_raw", before("tool", "h")).withColumn("same_canonical", before("tool", "c"))
     kind = (
@@ -116,7 +118,7 @@ def dedup_opportunities(events: DataFrame) -> DataFrame:
         .when(F.col("last_h").isNotNull(), "changed")
         .otherwise("first_seen")
     )
-    return e.select("session_id", "turn", "pos", "tool", "family", "target", kind.alias("repeat_class"), T.token_estimate(F.col("raw")).alias("n_tokens"))
+    return e.select("session_id", "turn", "pos", "tool", "family", "target", kind.alias("repeat_class"), "n_tokens")
 
 
 def dedup_summary(opportunities: DataFrame) -> DataFrame:
@@ -144,17 +146,27 @@ def new_lines(events: DataFrame) -> DataFrame:
 
 
 def range_overlap(events: DataFrame) -> DataFrame:
-    """For each ranged read the lines an earlier read of the file already covered: running interval union by the largest end so far."""
+    """For each ranged read the lines that earlier reads of the file in the session already covered.
+
+    A fold over the reads in order, whose state is the union of a file's ranges as disjoint intervals.
+    """
+    from .folds import folded
+
+    def step(state: dict[str, list[int]], row: dict[str, int]) -> dict[str, int]:
+        begins, ends = state.setdefault("begins", []), state.setdefault("ends", [])
+        a, b = row["a"], row["b"]
+        i, j = bisect_left(ends, a), bisect_right(begins, b)  # the intervals that touch [a, b)
+        covered = sum(max(0, min(b, y) - max(a, x)) for x, y in zip(begins[i:j], ends[i:j]))
+        if i < j:
+            begins[i:j], ends[i:j] = [min(a, begins[i])], [max(b, ends[j - 1])]
+        else:
+            begins.insert(i, a)
+            ends.insert(i, b)
+        return {"n_lines": b - a, "n_covered": covered}
+
     e = events.filter("family = 'file_read' and path is not null and offset is not null and n_lines > 0").select("session_id", "turn", "pos", "path", F.col("offset").alias("a"), (F.col("offset") + F.col("n_lines")).alias("b"))
-    line = W.partitionBy("session_id", "path").orderBy("turn", "pos").rowsBetween(W.unboundedPreceding, -1)
-    e = e.withColumn("earlier", F.collect_list(F.struct("a", "b")).over(line))
-    clipped = F.filter(F.transform("earlier", lambda r: F.struct(F.greatest(r["a"], F.col("a")).alias("a"), F.least(r["b"], F.col("b")).alias("b"))), lambda r: r["a"] < r["b"])
-    sweep = F.aggregate(
-        F.array_sort(clipped),
-        F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")),
-        lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(s["end"], r["a"]))).alias("n"), F.greatest(s["end"], r["b"]).alias("end")),
-    )
-    return e.select("session_id", "turn", "pos", "path", (F.col("b") - F.col("a")).alias("n_lines"), sweep["n"].alias("n_covered"))
+    rows = folded(e, ["session_id", "path"], ["turn", "pos"], step, "session_id string, turn int, pos int, path string, a int, b int, n_lines int, n_covered int")
+    return rows.drop("a", "b")
 
 
 def cached(events: DataFrame) -> DataFrame:
@@ -190,30 +202,33 @@ def pairing(turns: DataFrame) -> DataFrame:
 
 def ngrams(events: DataFrame, sizes: tuple[int, ...] = (2, 3), least: int = 3) -> DataFrame:
     """Frequent sequences of tools: each n-gram of a session's events, its count and sessions; those inside an equally frequent longer one are left out."""
-    e = events.filter("tool is not null").select("session_id", "turn", "pos", "tool")
-    line = W.partitionBy("session_id").orderBy("turn", "pos")
-    longest = max(sizes)
-    ahead = e.select("session_id", F.array(*[F.lead("tool", k).over(line) if k else F.col("tool") for k in range(longest)]).alias("tools"))
-    grams = ahead.select("session_id", F.explode(F.array(*[F.slice("tools", 1, n) for n in sizes])).alias("gram")).filter(F.forall("gram", lambda x: x.isNotNull()))
+    e = ahead(parted(events.filter("tool is not null").select("session_id", "turn", "pos", "tool"), "turn"), "session_id", ("turn", "pos"), ("tool",), max(sizes) - 1)
+    following = e.select("session_id", F.concat(F.array("tool"), F.col("next.tool")).alias("tools"))
+    grams = following.select("session_id", F.explode(F.array(*[F.slice("tools", 1, n) for n in sizes])).alias("gram")).filter(F.forall("gram", lambda x: x.isNotNull()))
     counted = grams.withColumn("gram", F.array_join("gram", " > ")).groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("n_sessions")).filter(F.col("n") >= least).withColumn("size", F.size(F.split("gram", " > ")))
     parts = counted.select(F.col("n").alias("m"), F.explode(F.array(F.regexp_extract("gram", "^(.*) > [^>]*$", 1), F.regexp_extract("gram", "^[^>]* > (.*)$", 1))).alias("gram"))
     inside = parts.groupBy("gram").agg(F.max("m").alias("m"))
     return counted.join(inside, "gram", "left").filter(F.coalesce(F.col("m") < F.col("n"), F.lit(True))).drop("m")
 
 
+def highest_before(turns: DataFrame) -> DataFrame:
+    """turns with the highest turn number of the session's rows that arrived before."""
+    return carried(parted(turns, "ingest_id", 1 << 16), "session_id", ("ingest_id",), "highest", F.max("turn_index"), F.max("turn_index"), "max").drop("part")
+
+
 def out_of_order(turns: DataFrame) -> DataFrame:
     """Turns that were recorded later in a session than a turn of a higher number, by order of arrival."""
-    line = W.partitionBy("session_id").orderBy("ingest_id").rowsBetween(W.unboundedPreceding, -1)
-    seen = turns.select("session_id", "turn_index", "ingest_id").withColumn("highest", F.max("turn_index").over(line))
+    seen = highest_before(turns.select("session_id", "turn_index", "ingest_id"))
     return seen.filter("turn_index < highest").select("session_id", F.col("turn_index").alias("turn"), "ingest_id", "highest")
 
 
 def top_values(events: DataFrame, k: int = 3) -> DataFrame:
     """A session's history in short: per field the k values with the highest sum of recency weights, ties by value."""
     e = events.filter("family is not null")
-    order = F.row_number().over(W.partitionBy("session_id").orderBy("turn", "pos"))
-    fields = F.array(F.struct(F.lit("file").alias("field"), F.col("path").alias("value")), F.struct(F.lit("command").alias("field"), T.command_family(F.col("command")).alias("value")), F.struct(F.lit("query").alias("field"), F.col("query").alias("value")))
-    long = e.withColumn("weight", order).select("session_id", "weight", F.inline(fields)).filter("value is not null")
+    command = T.command_family(F.col("command"))
+    e = numbered(parted(e.select("session_id", "turn", "pos", "path", command.alias("command"), "query"), "turn"), "session_id", ("turn", "pos"), "weight")
+    fields = F.array(F.struct(F.lit("file").alias("field"), F.col("path").alias("value")), F.struct(F.lit("command").alias("field"), F.col("command").alias("value")), F.struct(F.lit("query").alias("field"), F.col("query").alias("value")))
+    long = e.select("session_id", "weight", F.inline(fields)).filter("value is not null")
     scored = long.groupBy("session_id", "field", "value").agg(F.sum("weight").alias("score"))
     rank = F.row_number().over(W.partitionBy("session_id", "field").orderBy(F.desc("score"), "value"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

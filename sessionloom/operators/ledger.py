@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .stretches import at_ranks, carried, numbered
+
 COUNTERS = ("tokens", "turns", "baseline_prompt_tokens", "prepared_prompt_tokens", "saved_prompt_tokens", "hot_hint_tokens_added", "reacquisition_cost_tokens")
 
 
@@ -36,35 +38,42 @@ def recent(sessions: DataFrame, n: int = 5) -> DataFrame:
     return sessions.withColumn("at", at).filter(F.col("at") <= n).groupBy("stream").agg(F.count("*").alias("n_sessions"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), *[F.sum(c).alias(c) for c in COUNTERS])
 
 
+_LINE = ("date", "file_seq", "line_no", "session_id")
+
+
+def _monthly(sessions: DataFrame) -> DataFrame:
+    """Sessions in parts of a month each, for windows over whole streams."""
+    return sessions.withColumn("part", F.year("date") * 12 + F.month("date"))
+
+
 def trend(sessions: DataFrame) -> DataFrame:
     """Per stream, the mean saved tokens, its slope against the session's number and the change from first to last."""
-    line = W.partitionBy("stream").orderBy("date", "file_seq", "line_no", "session_id")
-    s = sessions.filter("saved_prompt_tokens is not null and date is not null").withColumn("i", F.row_number().over(line))
-    y = F.col("saved_prompt_tokens").cast("double")
-    out = s.groupBy("stream").agg(F.count("*").alias("n_sessions"), F.avg(y).alias("mean"), F.regr_slope(y, F.col("i").cast("double")).alias("slope"), F.min_by(y, "i").alias("first"), F.max_by(y, "i").alias("last"))
+    s = sessions.filter("saved_prompt_tokens is not null and date is not null").select("stream", *_LINE, F.col("saved_prompt_tokens").cast("double").alias("y"))
+    s = numbered(_monthly(s), "stream", _LINE, "i")
+    out = s.groupBy("stream").agg(F.count("*").alias("n_sessions"), F.avg("y").alias("mean"), F.regr_slope("y", F.col("i").cast("double")).alias("slope"), F.min_by("y", "i").alias("first"), F.max_by("y", "i").alias("last"))
     return out.withColumn("direction", F.when(F.col("last") > F.col("first"), "up").when(F.col("last") < F.col("first"), "down").otherwise("flat"))
 
 
 def peak(sessions: DataFrame) -> DataFrame:
     """Per stream the highest share saved so far at any of its sessions: running sums, then a running maximum."""
-    line = W.partitionBy("stream").orderBy("date", "file_seq", "line_no", "session_id").rowsBetween(W.unboundedPreceding, 0)
-    s = sessions.filter("saved_prompt_tokens is not null and baseline_prompt_tokens is not null and date is not null")
-    s = s.withColumn("pct", F.try_divide(100.0 * F.sum("saved_prompt_tokens").over(line), F.sum("baseline_prompt_tokens").over(line)))
-    return s.groupBy("stream").agg(F.max("pct").alias("peak_pct"), F.count("*").alias("n_sessions"))
+    s = _monthly(sessions.filter("saved_prompt_tokens is not null and baseline_prompt_tokens is not null and date is not null").select("stream", *_LINE, "saved_prompt_tokens", "baseline_prompt_tokens"))
+    for name in ("saved_prompt_tokens", "baseline_prompt_tokens"):
+        s = carried(s, "stream", _LINE, f"upto_{name}", F.sum(name), F.sum(name), "sum").withColumn(f"upto_{name}", F.col(f"upto_{name}") + F.col(name))
+    pct = F.try_divide(100.0 * F.col("upto_saved_prompt_tokens"), F.col("upto_baseline_prompt_tokens"))
+    return s.groupBy("stream").agg(F.max(pct).alias("peak_pct"), F.count("*").alias("n_sessions"))
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, p: float = 0.95) -> DataFrame:
-    """The value at index round((n - 1) * p), half to even, without interpolation: by rank, so no group is collected."""
-    at = W.partitionBy(group).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).select(group, value, (F.row_number().over(at) - 1).alias("i"), F.count("*").over(W.partitionBy(group)).alias("n"))
-    return ranked.filter(F.col("i") == F.bround((F.col("n") - 1) * F.lit(p)).cast("int")).select(group, F.col(value).alias("value"), "n")
+    """The value at index round((n - 1) * p), half to even, without interpolation; no group is sorted as a whole."""
+    return at_ranks(df, group, value, [F.bround((F.col("n") - 1) * F.lit(p)).cast("bigint")]).select(group, F.col("v0").alias("value"), "n")
 
 
 def lanes(runs: DataFrame) -> DataFrame:
     """Runs (lane, task, value, success): rates, median, and the mean of the tasks' population variances."""
     task = runs.groupBy("lane", "task").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"), F.var_pop("value").alias("var"), F.count_distinct("success").alias("outcomes"))
     per = task.groupBy("lane").agg(F.sum("n").alias("n_runs"), (F.sum("ok") / F.sum("n")).alias("success_rate"), F.avg(F.when(F.col("n") > 1, F.col("var"))).alias("mean_variance"), F.count_if(F.col("outcomes") == 1).alias("n_stable"))
-    return per.join(runs.groupBy("lane").agg(F.median("value").alias("median")), "lane")
+    middle = at_ranks(runs, "lane", "value", [F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)])
+    return per.join(middle.select("lane", ((F.col("v0") + F.col("v1")) / 2).alias("median")), "lane")
 
 
 def paired(runs: DataFrame, base: str, candidate: str) -> DataFrame:

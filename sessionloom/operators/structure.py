@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from .events import highest_before
 
 
 def markdown_nodes(documents: DataFrame) -> DataFrame:
@@ -31,9 +32,9 @@ def signatures(documents: DataFrame) -> DataFrame:
 
 def trace_audit(turns: DataFrame) -> DataFrame:
     """Findings per recorded row: delivered again, out of order, lacking fields; one row per row and code."""
-    by_key, by_session = W.partitionBy("session_id", "turn_index").orderBy("ingest_id"), W.partitionBy("session_id").orderBy("ingest_id").rowsBetween(W.unboundedPreceding, -1)
+    by_key = W.partitionBy("session_id", "turn_index").orderBy("ingest_id")
     t = turns.select("ingest_id", "session_id", "turn_index", "prompt", "workspace_id", "model", F.size("tool_uses").alias("u"), "recorded_at")
-    t = t.withColumn("nth", F.row_number().over(by_key)).withColumn("highest", F.max("turn_index").over(by_session))
+    t = highest_before(t.withColumn("nth", F.row_number().over(by_key)))
     codes = F.array_compact(
         F.array(
             F.when(F.col("nth") > 1, "duplicate"), F.when(F.col("turn_index") < F.col("highest"), "out_of_order"), F.when(F.col("prompt").isNull(), "missing_prompt"),
