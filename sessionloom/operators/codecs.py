@@ -182,6 +182,12 @@ def unified(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="", n=0)) for a, b in zip(old, new)], dtype=object)
 
 
+@F.pandas_udf(StringType())
+def unified_lines(old: pd.Series, new: pd.Series) -> pd.Series:
+    """A unified diff of lines parted by LF alone, which can be replayed to the byte."""
+    return pd.Series([None if a is None or b is None else "\n".join(difflib.unified_diff(a.split("\n"), b.split("\n"), lineterm="", n=1)) for a, b in zip(old, new)], dtype=object)
+
+
 def passed(events: DataFrame) -> DataFrame:
     """Events with their kind, the codec's form of their text and the characters saved."""
     e = events.filter("raw is not null").withColumn("kind", T.content_kind(F.col("raw")))

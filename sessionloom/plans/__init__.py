@@ -1,5 +1,5 @@
 """Queries of the core by name, and their SQL forms."""
 
-from . import conversation, dedup, evidence, identities, ledger, macros, problems, sessions, texts
+from . import conversation, dedup, evidence, identities, ledger, macros, problems, recall, sessions, texts, traces
 
-MODULES = (problems, sessions, ledger, texts, evidence, identities, dedup, conversation, macros)
+MODULES = (problems, sessions, ledger, texts, evidence, identities, dedup, conversation, macros, recall, traces)
