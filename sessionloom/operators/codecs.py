@@ -20,6 +20,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from .unnest import triples
 
 Codec = Callable[[str], str]
 REGISTRY: dict[str, Codec] = {}
@@ -34,8 +35,8 @@ def register(*kinds: str) -> Callable[[Codec], Codec]:
 
 
 @register("search")
-def search(text: str) -> str:
-    """Hits grouped by file, fewer of each file the more there are in all."""
+def search(text: str, limits: tuple[tuple[int, int], ...] = ((20, 1 << 30), (50, 6), (1 << 30, 3))) -> str:
+    """Hits grouped by file, fewer of each file the more there are in all: limits are (hits in all, hits of a file); what is left out is counted."""
     by: dict[str, list[str]] = defaultdict(list)
     rest = []
     for line in text.splitlines():
@@ -44,10 +45,10 @@ def search(text: str) -> str:
         elif line.strip():
             rest.append(line)
     total = sum(map(len, by.values()))
-    most = total if total <= 20 else 6 if total <= 50 else 3
+    most = next(m for n, m in limits if total <= n)
     out = [f"{total} hits in {len(by)} files"]
     for file, hits in by.items():
-        out += [f"{file} ({len(hits)})", *hits[:most]]
+        out += [f"{file} ({len(hits)})", *hits[:most], *([f"  ... {len(hits) - most} more"] if len(hits) > most else [])]
     return "\n".join(out + rest)
 
 
@@ -92,21 +93,31 @@ def listing(text: str) -> str:
     return f"{len(names)} entries: " + ", ".join(f"{k} {n}" for k, n in kinds.most_common())
 
 
-def skeleton(value: Any, depth: int = 0) -> Any:
-    """A JSON value with long lists, wide objects and long strings cut short and marked."""
-    if isinstance(value, dict):
-        if depth >= 8 or (depth > 1 and len(value) > 20):
-            return {"_keys": len(value)}
-        return {k: skeleton(v, depth + 1) for k, v in value.items()}
-    if isinstance(value, list):
-        return [skeleton(v, depth + 1) for v in value] if len(value) <= 10 else [skeleton(value[0], depth + 1), f"_omitted {len(value) - 1}"]
-    return value[:197] + "..." if isinstance(value, str) and len(value) > 200 else value
+def outline(value: Any, budget: int = 1500, sample: int = 40) -> str:
+    """A JSON value as its paths: each once, with its kinds, how often it stands and its first value, up to `budget` characters.
+
+    Paths in document order; what the budget leaves out is counted in the last line.
+    """
+    paths: dict[str, tuple[Counter, str]] = {}
+    for path, _, leaf in triples(value):
+        kinds, _ = paths.setdefault(path or ".", (Counter(), "" if isinstance(leaf, (tuple, frozenset)) else json.dumps(leaf, ensure_ascii=False)))
+        kinds[type(leaf).__name__.replace("NoneType", "null").replace("tuple", "array").replace("frozenset", "object")] += 1
+    out, left = [], budget
+    for path, (kinds, first) in paths.items():
+        line = f"{path}: {'|'.join(kinds)} x{sum(kinds.values())} {first if len(first) <= sample else first[:sample] + '~'}".rstrip()
+        left -= len(line) + 1
+        if left < 0:
+            out.append(f"... {len(paths) - len(out)} more paths")
+            break
+        out.append(line)
+    return "\n".join(out)
 
 
 @register("json")
 def json_(text: str) -> str:
+    """The outline, under the number of characters it stands for."""
     try:
-        return json.dumps(skeleton(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        return f"json of {len(text)} characters\n" + outline(json.loads(text))
     except (ValueError, RecursionError):
         return text
 
