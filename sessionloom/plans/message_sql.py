@@ -19,6 +19,11 @@ bs AS (SELECT rec_key, msg_pos, block_pos, sub_pos, call_msg_pos, call_block_pos
   UNION ALL SELECT rec_key, msg_pos, block_pos, sub_pos, call_msg_pos, call_block_pos, role, i->>'$.type', i->>'$.id', i->>'$.tool_use_id', i->>'$.name', CASE WHEN json_exists(i, '$.text') THEN i->>'$.text' END
     FROM (SELECT *  EXCLUDE (sub_pos), unnest(json_extract(content, '$[*]')) AS i, unnest(range(json_array_length(content)::BIGINT))::INT AS sub_pos FROM b0 WHERE type = 'tool_result' AND json_type(content) = 'ARRAY'))
 """
+# All tool results, each once.
+RESULTS = """ri AS (SELECT rec_key, msg_pos, block_pos, string_agg(body, chr(10) ORDER BY sub_pos) AS t FROM bs WHERE sub_pos >= 0 AND type = 'text' AND body IS NOT NULL GROUP BY ALL),
+rb AS (SELECT b0.rec_key, b0.msg_pos, b0.block_pos, call_msg_pos, call_block_pos, tool_use_id, CASE json_type(content) WHEN 'VARCHAR' THEN content->>'$' WHEN 'ARRAY' THEN CASE WHEN json_array_length(content) = 0 THEN '' ELSE t END END AS content FROM b0 LEFT JOIN ri USING (rec_key, msg_pos, block_pos) WHERE b0.type = 'tool_result'),
+rs AS (SELECT DISTINCT tool_use_id, content FROM (SELECT tool_use_id, content FROM rb UNION ALL SELECT r.tool_use_id, r.content FROM (SELECT unnest(tool_results) AS r FROM stress_turns)) WHERE tool_use_id IS NOT NULL)
+"""
 _MESSAGES = """
 me AS (SELECT rec_key, msg_pos, any_value(role) AS role, count(*) AS n_blocks, count(*) FILTER (type = 'tool_use') AS n_uses, count(*) FILTER (type = 'tool_result') AS n_results, count(*) FILTER (type = 'thinking') AS n_thinking FROM bs WHERE sub_pos = -1 GROUP BY ALL),
 ut AS (SELECT *, sum(authored::INT) OVER (PARTITION BY rec_key ORDER BY msg_pos)::BIGINT AS turn FROM (SELECT *, coalesce(role = 'user' AND n_results < n_blocks, false) AS authored FROM me))
@@ -30,6 +35,7 @@ def _sql(body: str, *parts: str) -> str:
 
 
 _TURNS = "tt AS (SELECT * FROM stress_turns QUALIFY row_number() OVER (PARTITION BY session_id, turn_index ORDER BY ingest_id) = 1)"
+_ANSWERS = "tr AS (SELECT session_id || '/' || turn_index AS k, i, tool_results[i + 1] AS r, list_max(list_filter(range(len(tool_uses))::INT[], lambda p: tool_uses[p + 1].id = tool_results[i + 1].tool_use_id)) AS ca FROM (SELECT *, unnest(range(len(tool_results)))::INT AS i FROM tt))"
 _KEYS = "rec_key, msg_pos, block_pos, sub_pos, call_msg_pos, call_block_pos"
 ORACLES = {
     "p2_found": _sql(
@@ -40,6 +46,13 @@ ORACLES = {
         "tt AS (SELECT * FROM stress_turns QUALIFY row_number() OVER (PARTITION BY session_id, turn_index ORDER BY ingest_id) = 1)",
     ),
     "p2_blocks": _sql("SELECT * FROM bs"),
+    "p2_all_blocks": _sql(
+        """SELECT * FROM bs WHERE sub_pos < 0 UNION ALL SELECT k, 0, i, -1, -1, -1, 'assistant', u.type, u.id, NULL, u.name, NULL FROM (SELECT session_id || '/' || turn_index AS k, unnest(tool_uses) AS u, unnest(range(len(tool_uses)))::INT AS i FROM tt)
+        UNION ALL SELECT k, 1, i, -1, CASE WHEN ca IS NULL THEN -1 ELSE 0 END, coalesce(ca, -1), 'user', 'tool_result', NULL, r.tool_use_id, NULL, r.content FROM tr""", _TURNS, _ANSWERS
+    ),
+    "p2_results": _sql(
+        """SELECT rec_key, msg_pos, block_pos, call_msg_pos, call_block_pos, tool_use_id, content FROM rb UNION ALL SELECT k, 1, i, CASE WHEN ca IS NULL THEN -1 ELSE 0 END, coalesce(ca, -1), r.tool_use_id, r.content FROM tr""", RESULTS, _TURNS, _ANSWERS
+    ),
     "p2_messages": _sql(
         """SELECT rec_key, msg_pos, role, msg->>'$.tool_use_id' AS tool_use_id, CASE ct WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE CASE WHEN ct IS NOT NULL THEN 'number' END END AS content_kind, coalesce(n, 0)::INT AS n_blocks
         FROM m1 LEFT JOIN (SELECT rec_key, msg_pos, count(*) AS n FROM bl GROUP BY ALL) USING (rec_key, msg_pos)

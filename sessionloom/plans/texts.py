@@ -10,6 +10,7 @@ from ..operators import codecs, folds, memory, structure
 from ..operators import events as E
 from ..sources import table
 from ..streaming import windows
+from .sessions import _BASE
 
 
 def _documents(f):  # type: ignore[no-untyped-def]
@@ -99,6 +100,14 @@ ORACLES = {
         CASE WHEN workspace_id IS NULL THEN 'missing_workspace' END, CASE WHEN model IS NULL THEN 'missing_model' END, CASE WHEN len(tool_uses) = 0 THEN 'no_tool_use' END]) AS code FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn_index ORDER BY ingest_id) AS nth,
         max(turn_index) OVER (PARTITION BY session_id ORDER BY ingest_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM stress_turns)) WHERE code IS NOT NULL""",
     "event_sessions": """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
+    "hint_cooldown": """WITH h AS (SELECT session_id, turn_index AS turn, unnest(map_keys(input_behavior_signals)) AS hint FROM (SELECT * FROM stress_turns QUALIFY row_number() OVER (PARTITION BY session_id, turn_index ORDER BY ingest_id) = 1)),
+        g AS (SELECT session_id, hint, list_reduce(list([turn] ORDER BY turn), lambda a, v: CASE WHEN v[1] - a[-1] > 3 THEN list_append(a, v[1]) ELSE a END) AS given FROM h GROUP BY ALL)
+        SELECT h.session_id, h.hint, h.turn, list_contains(g.given, h.turn) AS given FROM h JOIN g USING (session_id, hint)""",
+    "result_cache_expiry": f"""WITH {_BASE}, q AS (SELECT session_id, target, turn, pos, family, h, epoch_us(recorded_at) / 1e6 AS tm FROM x JOIN (SELECT session_id, turn_index AS turn, recorded_at FROM t) USING (session_id, turn) WHERE raw IS NOT NULL AND family IS NOT NULL),
+        f AS (SELECT session_id, target, list_reduce(list([{{'turn': turn, 'pos': pos, 'family': family, 'h': h, 'tm': tm, 'o': 'stored'}}] ORDER BY turn, pos), lambda a, v: list_append(a, CASE WHEN v[1].tm - a[-1].tm > 1800 THEN {{'turn': v[1].turn, 'pos': v[1].pos, 'family': v[1].family, 'h': v[1].h, 'tm': v[1].tm, 'o': 'expired'}}
+          WHEN a[-1].h = v[1].h THEN {{'turn': v[1].turn, 'pos': v[1].pos, 'family': v[1].family, 'h': v[1].h, 'tm': v[1].tm, 'o': 'unchanged'}} WHEN v[1].family = 'command' THEN {{'turn': v[1].turn, 'pos': v[1].pos, 'family': v[1].family, 'h': v[1].h, 'tm': v[1].tm, 'o': 'changed'}}
+          ELSE {{'turn': v[1].turn, 'pos': v[1].pos, 'family': v[1].family, 'h': a[-1].h, 'tm': a[-1].tm, 'o': 'changed'}} END)) AS s FROM q GROUP BY ALL)
+        SELECT session_id, target, e.turn AS turn, e.pos AS pos, e.family AS family, e.o AS outcome FROM (SELECT session_id, target, unnest(s) AS e FROM f)""",
     "stream_tumbling": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     # A file source without further batches closes no window after the last data, but an availableNow run ends with one batch without data, at the watermark of the data before it.
     "stream_sessions": """SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(b + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS "end", n FROM (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
