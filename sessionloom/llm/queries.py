@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import table
 from ..operators import unnest
+from ..plans.message_sql import BLOCKS, RESULTS
+from ..sources import table
 from . import formatting, mixing, neardup, packing, runs, spans, tokens, truncation
 
 
@@ -76,7 +77,25 @@ v AS (SELECT session_id, turn, pos, tm, CASE WHEN name IS NOT NULL AND p <> '' T
 i AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, pos) - row_number() OVER (PARTITION BY session_id, v ORDER BY turn, pos) AS i FROM v),
 r AS (SELECT session_id, min((turn, pos)) AS a, max((turn, pos)) AS b, count(*) AS n_uses, min(tm) AS started_at, max(tm) AS ended_at FROM i WHERE v IS NOT NULL GROUP BY session_id, v, i HAVING count(*) > 1)
 SELECT session_id, a[1] AS first_turn, a[2] AS first_pos, b[1] AS last_turn, b[2] AS last_pos"""
+# Brute force over all pairs of texts that share a word sequence, and over all stretches of 240 characters.
+_SAME_WORDS = f"""WITH {BLOCKS}, {RESULTS}, w AS (SELECT tool_use_id, content, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM rs WHERE length(content) >= 80),
+c AS (SELECT list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s, tool_use_id, content FROM w),
+k AS (SELECT min(tool_use_id) AS id, any_value(s) AS s, list(tool_use_id) AS ids FROM c GROUP BY CASE WHEN len(s) > 0 THEN array_to_string(list_sort(s), chr(10)) ELSE chr(0) || content END),
+t AS (SELECT id, len(s) AS n, unnest(s) AS g FROM k),
+p AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m FROM t a JOIN t b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) >= 0.7 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT * FROM (WITH RECURSIVE x(a, b) AS (SELECT a, b FROM e UNION SELECT x.a, e.b FROM x JOIN e ON x.b = e.a) SELECT a, b FROM x)),
+g AS (SELECT k.id, least(k.id, coalesce(min(r.b), k.id)) AS root FROM k LEFT JOIN r ON r.a = k.id GROUP BY k.id)
+SELECT root AS keep_id, m AS member_id FROM (SELECT root, unnest(ids) AS m FROM k JOIN g USING (id)) WHERE m <> root"""
+_STRETCHES = f"""WITH {BLOCKS}, {RESULTS}, d AS (SELECT tool_use_id, content FROM rs WHERE length(content) >= 240),
+q AS (SELECT tool_use_id, i, hash(substr(content, i + 1, 240)) AS h FROM (SELECT tool_use_id, content, unnest(range(length(content) - 239)) AS i FROM d)),
+y AS (SELECT h FROM q GROUP BY h HAVING min(tool_use_id) <> max(tool_use_id)),
+z AS (SELECT tool_use_id, i, lag(i) OVER (PARTITION BY tool_use_id ORDER BY i) AS o FROM q JOIN y USING (h)),
+v AS (SELECT *, sum(CASE WHEN o IS NULL OR i - o > 240 THEN 1 ELSE 0 END) OVER (PARTITION BY tool_use_id ORDER BY i) AS k FROM z)
+SELECT tool_use_id, min(i)::INT AS span_start, (max(i) + 240)::INT AS span_end FROM v GROUP BY tool_use_id, k"""
 ORACLES: dict[str, str] = {
+    "p4_found": _STRETCHES,
+    "p6_found": _SAME_WORDS,
     "p3_found": f"{_RUNS} FROM r",
     "p3_runs": f"{_RUNS}, n_uses, started_at, ended_at, (epoch_us(ended_at) - epoch_us(started_at)) / 1e6 AS seconds FROM r",
 }

@@ -10,7 +10,7 @@ from sessionloom.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("stress_turns", "tool_families"):
+    for table in ("stress_turns", "tool_families", "replay_records"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     theirs = con.sql(queries.ORACLES[name])
