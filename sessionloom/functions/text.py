@@ -28,7 +28,7 @@ SECRETS = ((r"(?i)bearer\s+[a-z0-9._\-]+", "Bearer <redacted>"), (r"\bsk-[A-Za-z
 
 def lines(text: Column) -> Column:
     """A text's lines; CR LF and CR end lines too, and a final line end makes no further line."""
-    return F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n$", ""), "\n")
+    return F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"\n\z", ""), "\n")
 
 
 def token_estimate(text: Column) -> Column:

@@ -270,7 +270,7 @@ def skeleton(code: str | None) -> Index:
     """(kind, name) -> the rest of the signature, the first of each name."""
     out: Index = {}
     for m in _SIGNATURE.finditer(code or ""):
-        out.setdefault((m[1], m[2]), m[3].strip())
+        out.setdefault((m[1], m[2]), m[3].strip(" "))
     return out
 
 

@@ -156,3 +156,41 @@ def summaries(events: DataFrame, n: int = 120) -> DataFrame:
         .otherwise(F.substring(F.trim(F.coalesce(F.get(F.filter(full, T.has_error), F.lit(0)), F.try_element_at(full, F.lit(-1)), F.lit(""))), 1, n))
     )
     return events.filter("raw is not null and family is not null").select("session_id", "turn", "pos", "family", text.alias("summary"))
+
+
+def prompt_checks(documents: DataFrame, large: int = 2000, paths: int = 6) -> DataFrame:
+    """Texts taken as system prompts: too large ones, and what their outline would lose: too much of them, or files they name."""
+    d = documents.filter("text is not null").join(prompt_outline(documents), "doc_id")
+    n, m = F.length("text"), F.length("outline")
+    lost = F.filter(F.slice(T.named_files(F.col("text")), 1, paths), lambda x: ~F.contains(F.col("outline"), x))
+    reason = F.when((n >= large) & (m < F.greatest(F.lit(500), F.floor(n * 0.25))), "overcompressed").when(F.size(lost) > 0, "missing_required_path").otherwise("")
+    return d.select("doc_id", (n > large).alias("bloated"), reason.alias("degraded"), F.size(lost).alias("n_lost_paths"))
+
+
+# What a prompt says that asks for reading only, for no answer yet, for an answer, for a final plan.
+INTENTS = {"read_only": r"read-only|do not (edit|change)", "no_answer": r"do not answer|no answer", "wants_answer": r"answer|explain|summari[sz]e|\?\s*$", "finalises": r"final (plan|answer)|finish|conclude", "audit": r"audit|review|investigat"}
+
+
+def turn_intents(blocks: DataFrame) -> DataFrame:
+    """What the last text a user wrote in each record asks for."""
+    said = blocks.filter("role = 'user' and type = 'text' and sub_pos = -1 and body is not null")
+    last = said.groupBy("rec_key").agg(F.max_by(F.lower("body"), F.struct("msg_pos", "block_pos")).alias("t"))
+    return last.select("rec_key", *[F.col("t").rlike(p).alias(k) for k, p in INTENTS.items()])
+
+
+def session_flags(events: DataFrame, keep: int = 2, recent: int = 6) -> DataFrame:
+    """Per session the turns to keep whole (three at least while it is young), whether its first turn reads broadly, and whether what it read twice still stands in its last turns."""
+    e = with_target(events).filter("family is not null")
+    ends = e.groupBy("session_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.count_distinct("turn").alias("n_turns"))
+    files = e.filter("family = 'file_read'")
+    broad = files.join(ends, "session_id").filter("turn = first").groupBy("session_id").agg(F.count_distinct("path").alias("n_first"))
+    need = files.groupBy("session_id", "target").agg(F.count("*").alias("n"), F.max("turn").alias("seen")).filter("n > 1").join(ends.select("session_id", "last"), "session_id")
+    lost = need.groupBy("session_id").agg(F.count("*").alias("n_required"), F.count_if(F.col("seen") <= F.col("last") - recent).alias("n_lost"))
+    out = ends.join(broad, "session_id", "left").join(lost, "session_id", "left").na.fill(0, ["n_first", "n_required", "n_lost"])
+    return out.select("session_id", "n_turns", F.when(F.col("n_turns") < 3, max(keep, 3)).otherwise(keep).alias("keep_turns"), (F.col("n_first") >= 2).alias("broad_start"), "n_required", "n_lost", (F.col("n_lost") == 0).alias("faithful"))
+
+
+def telemetry(events: DataFrame) -> DataFrame:
+    """Events as lines of JSON: type, time, request, payload; works on batches and streams."""
+    block = F.struct("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.col("event_id").alias("request_id"), F.struct("user_id", "value").alias("payload"))
+    return events.select(F.to_json(block).alias("line"))

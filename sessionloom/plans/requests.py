@@ -10,6 +10,7 @@ from ..operators import events as E
 from ..operators import recall, unnest
 from ..operators import requests as R
 from ..sources import table
+from ..streaming import windows
 from .evidence import ORACLES as _EVIDENCE
 from .identities import q
 from .message_sql import BLOCKS
@@ -40,7 +41,18 @@ def wire_lines(spark: SparkSession, d: str) -> DataFrame:
     return s.select("session_id", "turn", F.length(line).alias("n_chars"), T.has_markup(line).alias("markup"))
 
 
+def stream_telemetry(spark: SparkSession, d: str) -> DataFrame:
+    """The events written as lines by a stream and read again, counted by type and user."""
+    lines = windows.drained(R.telemetry(windows.events(spark, d)))
+    e = lines.select(F.from_json("line", "event_type string, timestamp string, request_id bigint, payload struct<user_id: bigint, value: double>").alias("e")).select("e.*")
+    return e.groupBy("event_type", F.col("payload.user_id").alias("user_id")).agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("request_id").alias("last_id"))
+
+
 QUERIES = {
+    "prompt_checks": lambda spark, d: R.prompt_checks(table(spark, d, "documents")),
+    "turn_intents": _blocks(R.turn_intents),
+    "session_flags": _events(R.session_flags),
+    "stream_telemetry": stream_telemetry,
     "request_fingerprints": _blocks(R.fingerprints),
     "fingerprint_diff": _blocks(R.fingerprint_diff),
     "prompt_outline": lambda spark, d: R.prompt_outline(table(spark, d, "documents")),
@@ -69,6 +81,7 @@ _KEPT = "kp AS (SELECT * FROM b0 WHERE NOT EXISTS (SELECT 1 FROM qd WHERE qd.rec
 _FULL = f"list_filter(list_transform({_LINES}, lambda v: trim(v, ' ')), lambda v: v <> '' AND NOT starts_with(v, '>>>'))"
 _WITHIN = "(SELECT coalesce(string_agg(v, ' | ' ORDER BY i), '') FROM (SELECT *, sum(length(v) + CASE WHEN n > 1 THEN 3 ELSE 0 END) OVER (ORDER BY i) AS upto FROM (SELECT *, row_number() OVER (ORDER BY i) AS n FROM (SELECT trim(t, ' ') AS v, i FROM (SELECT unnest(f3) AS t, unnest(range(len(f3))) AS i)) WHERE v <> '')) WHERE upto <= 120)"
 _NAMES = "list_filter(nm, lambda v: v <> '')"
+_INTENTS = ", ".join(f"regexp_matches(t, {q(p)}) AS {k}" for k, p in R.INTENTS.items())
 ORACLES = {
     "request_fingerprints": f"WITH {BLOCKS} {_FP} FROM {_JOINED.format('', 'bl', 'bl')}",
     "fingerprint_diff": f"""WITH {BLOCKS}, {_Q}, {_KEPT}, fa AS ({_FP} FROM {_JOINED.format('', 'bl', 'bl')}), fb AS ({_FP} FROM {_JOINED.format('', 'kp', 'kp')})
@@ -104,3 +117,16 @@ ORACLES = {
         FROM (SELECT *, CASE WHEN len(df) > 0 THEN df ELSE list_slice(f, 1, 3) END AS f3 FROM (SELECT *, list_filter(f, lambda v: regexp_matches(v, '^\\s*(class|def|async def) ')) AS df, list_filter(f, lambda v: regexp_matches(v, '^[^\\s:]+:[0-9]+:')) AS hits FROM (SELECT *, list_filter({_SPLIT}, lambda v: trim(v, ' ') <> '') AS f FROM x WHERE raw IS NOT NULL AND family IS NOT NULL)))"""
     ),
 }
+
+_OUTLINE = ORACLES["prompt_outline"]
+ORACLES |= {
+    "prompt_checks": f"""SELECT doc_id, length(text) > 2000 AS bloated, CASE WHEN length(text) >= 2000 AND length(outline) < greatest(500, floor(length(text) * 0.25)) THEN 'overcompressed' WHEN len(lost) > 0 THEN 'missing_required_path' ELSE '' END AS degraded, len(lost)::INT AS n_lost_paths FROM (SELECT *, (SELECT coalesce(list(v), []) FROM (SELECT v FROM (SELECT v, min(i) AS i FROM (SELECT unnest(fs) AS v, unnest(range(len(fs))) AS i) GROUP BY v) ORDER BY i LIMIT 6) WHERE NOT contains(outline, v)) AS lost
+        FROM (SELECT doc_id, text, outline, regexp_extract_all(text, {q('([A-Za-z0-9_./-]+' + chr(92) + '.(?:' + T.NAMED + '))' + chr(92) + 'b')}, 1) AS fs FROM documents JOIN ({_OUTLINE}) USING (doc_id) WHERE text IS NOT NULL))""",
+    "turn_intents": f"WITH {BLOCKS} SELECT rec_key, {_INTENTS} FROM (SELECT rec_key, arg_max(lower(body), (msg_pos, block_pos)) AS t FROM bl WHERE role = 'user' AND type = 'text' AND body IS NOT NULL GROUP BY 1)",
+    "session_flags": _sql(
+        """SELECT session_id, n_turns, CASE WHEN n_turns < 3 THEN 3 ELSE 2 END AS keep_turns, coalesce(nf, 0) >= 2 AS broad_start, coalesce(nr, 0) AS n_required, coalesce(nl, 0) AS n_lost, coalesce(nl, 0) = 0 AS faithful FROM (SELECT session_id, min(turn) AS a, max(turn) AS z, count(DISTINCT turn) AS n_turns FROM x WHERE family IS NOT NULL GROUP BY 1) e
+        LEFT JOIN (SELECT session_id, count(DISTINCT path) AS nf FROM (SELECT *, min(turn) FILTER (family IS NOT NULL) OVER (PARTITION BY session_id) AS t0 FROM x) WHERE family = 'file_read' AND turn = t0 GROUP BY 1) f USING (session_id)
+        LEFT JOIN (SELECT session_id, count(*) AS nr, count(*) FILTER (seen <= z - 6) AS nl FROM (SELECT session_id, target, count(*) AS n, max(turn) AS seen FROM x WHERE family = 'file_read' GROUP BY ALL HAVING count(*) > 1) JOIN (SELECT session_id, max(turn) FILTER (family IS NOT NULL) AS z FROM x GROUP BY 1) USING (session_id) GROUP BY 1) g USING (session_id)"""
+    ),
+    "stream_telemetry": "SELECT event_type, user_id, count(*) AS n, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS first, max(event_id) AS last_id FROM events GROUP BY ALL",
+}
