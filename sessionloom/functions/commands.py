@@ -1,4 +1,7 @@
-"""What shell commands read, search, list or look up, as Column expressions; commands are split at blanks outside quotes."""
+"""What shell commands read, search, list or look up, as Column expressions; commands are split at blanks outside quotes.
+
+A command's words can be given as a column, so that several expressions over it don't split it each on its own.
+"""
 
 from __future__ import annotations
 
@@ -43,9 +46,9 @@ def _plain(arguments: Column) -> Column:
     return F.filter(arguments, lambda a: ~a.startswith("-"))
 
 
-def read_path(command: Column) -> Column:
+def read_path(command: Column, split: Column | None = None) -> Column:
     """The one file that cat, head, tail, nl or sed -n shows; null for anything that pipes, redirects or globs."""
-    w = words(command)
+    w = words(command) if split is None else split
     r, a = root(w), _arguments(w)
     bare = F.filter(a, lambda x: x != "--")
     one = F.when(F.size(_plain(a)) == 1, _plain(a)[0])
@@ -57,9 +60,9 @@ def read_path(command: Column) -> Column:
     return F.when(~command.rlike(UNSAFE), path)
 
 
-def search(command: Column) -> Column:
+def search(command: Column, split: Column | None = None) -> Column:
     """struct<query, scope> of a grep, rg or ag."""
-    w = words(command)
+    w = words(command) if split is None else split
     a = _plain(_arguments(w))
     found = root(w).isin("grep", "rg", "ag") & (F.size(a) > 0)
     return F.when(found, F.struct(F.get(a, F.lit(0)).alias("query"), F.when(F.size(a) > 1, normal_path(F.element_at(a, -1))).alias("scope")))
@@ -77,24 +80,24 @@ def history(command: Column) -> Column:
     return F.when(c.rlike(show), each(show)).when(c.rlike(diff), each(diff))
 
 
-def probe(command: Column) -> Column:
+def probe(command: Column, split: Column | None = None) -> Column:
     """What metadata a command looks up: git_log, stat, wc, ls and the like."""
-    w = words(command)
+    w = words(command) if split is None else split
     r, sub = root(w), F.lower(F.get(w, F.lit(1)))
     return F.when(~command.rlike(UNSAFE), F.when(r == "git", F.when(sub.isin(*GIT_PROBES), F.concat(F.lit("git_"), sub))).when(r.isin(*PROBES), r))
 
 
-def listing(command: Column) -> Column:
+def listing(command: Column, split: Column | None = None) -> Column:
     """struct<path, mode> of an ls or find: its first plain argument, and the other ones."""
-    w = words(command)
+    w = words(command) if split is None else split
     a = F.filter(_arguments(w), lambda x: x != "--")
     path = F.get(_plain(a), F.lit(0))
     return F.when(root(w).isin("ls", "find"), F.struct(normal_path(F.coalesce(path, F.lit(""))).alias("path"), F.array_join(F.filter(a, lambda x: x.startswith("-")), " ").alias("mode")))
 
 
-def cacheable(command: Column) -> Column:
+def cacheable(command: Column, split: Column | None = None) -> Column:
     """The command, squeezed and without wrappers, if its output can be kept: it only reads and pipes nothing."""
-    w = words(command)
+    w = words(command) if split is None else split
     r, second, has = root(w), F.lower(F.get(w, F.lit(1))), lambda x: F.array_contains(w, x)
     harmless = (
         F.when(r == "git", second.isin(*GIT_KEPT))
@@ -106,7 +109,7 @@ def cacheable(command: Column) -> Column:
     return F.when(~command.rlike(UNSAFE) & r.isin(*KEPT) & F.coalesce(harmless, F.lit(False)), F.array_join(w, " "))
 
 
-def lists_paths(command: Column) -> Column:
+def lists_paths(command: Column, split: Column | None = None) -> Column:
     """Whether a git command gives bare paths, which are evidence and are never shortened."""
-    w = words(command)
+    w = words(command) if split is None else split
     return (root(w) == "git") & F.coalesce(F.get(w, F.lit(1)).isin("diff", "log", "show"), F.lit(False)) & F.exists(w, lambda x: x.rlike("^(--name-only(=.*)?|--name-status|--raw)$"))

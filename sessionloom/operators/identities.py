@@ -39,21 +39,25 @@ def shell_forms(events: DataFrame) -> DataFrame:
 
 def commands(events: DataFrame) -> DataFrame:
     """What each command reads, searches, lists, probes; whether its output may be kept or is a list of paths."""
-    c = F.col("shell")
-    found, past, dir_ = C.search(c), C.history(c), C.listing(c)
-    return shell_forms(events).select(
-        "session_id", "turn", "pos", "shell", C.root(C.words(c)).alias("root"), C.read_path(c).alias("read_path"), found["query"].alias("query"), found["scope"].alias("scope"),
-        past["path"].alias("past_path"), past["revision"].alias("revision"), C.probe(c).alias("probe"), dir_["path"].alias("dir_path"), dir_["mode"].alias("dir_mode"), C.cacheable(c).alias("kept"), C.lists_paths(c).alias("lists_paths"),
+    c, w = F.col("shell"), F.col("w")
+    e = shell_forms(events).select("session_id", "turn", "pos", "shell", C.words(c).alias("w"))
+    e = e.select("*", C.search(c, w).alias("found"), C.history(c).alias("past"), C.listing(c, w).alias("dir"))
+    return e.select(
+        "session_id", "turn", "pos", "shell", C.root(w).alias("root"), C.read_path(c, w).alias("read_path"), "found.query", "found.scope", F.col("past.path").alias("past_path"), "past.revision",
+        C.probe(c, w).alias("probe"), F.col("dir.path").alias("dir_path"), F.col("dir.mode").alias("dir_mode"), C.cacheable(c, w).alias("kept"), C.lists_paths(c, w).alias("lists_paths"),
     )
 
 
 def identities(events: DataFrame) -> DataFrame:
     """The identities of each event: its arguments, the evidence it gives, what it intends, its label, its cache keys."""
-    e = events.filter("tool is not null")
-    path, query, command, family = blank(T.normal_path(F.col("path"))), blank(C.squeezed(F.col("query"))), F.col("command"), F.col("family")
-    shell_path, shell_search, past, probed, dir_ = C.read_path(command), C.search(command), C.history(command), C.probe(command), C.listing(command)
-    args = arguments(F.col("args"))
-    flags = arguments(F.col("args"), *OWN)
+    command, w = F.col("command"), F.col("w")
+    e = events.filter("tool is not null").select(
+        "session_id", "turn", "pos", "tool", "family", "command", C.words(command).alias("w"), blank(T.normal_path(F.col("path"))).alias("path"), blank(C.squeezed(F.col("query"))).alias("query"),
+        arguments(F.col("args")).alias("all"), arguments(F.col("args"), *OWN).alias("flags"), arguments(F.col("args"), "offset", "limit").alias("whole"),
+    )
+    e = e.select("*", C.read_path(command, w).alias("shell_path"), C.search(command, w).alias("shell_search"), C.history(command).alias("past"), C.probe(command, w).alias("probed"), C.listing(command, w).alias("dir"))
+    path, query, family, args, flags = (F.col(c) for c in ("path", "query", "family", "all", "flags"))
+    shell_path, shell_search, past, probed, dir_ = (F.col(c) for c in ("shell_path", "shell_search", "past", "probed", "dir"))
     is_file = (family == "file_read") | shell_path.isNotNull()
     is_search = (family == "search") | shell_search.isNotNull()
     named = lambda p: F.when(p == "", "path-missing").otherwise(p)
@@ -82,7 +86,7 @@ def identities(events: DataFrame) -> DataFrame:
         pick(past["revision"], anchor, probed, s(""), s(""), anchor).alias("novelty"),
         pick(s("git_history"), s("shell_search"), s("metadata_probe"), F.when(temporary, "temp_copy").otherwise("shell_read"), s("native_tool"), s("native_tool")).alias("source"),
         F.coalesce(label, F.lit("")).alias("label"),
-        F.substring(F.sha2(F.concat_ws(":", "tool", args), 256), 1, 12).alias("result_key"), F.concat(F.col("tool"), F.lit(":"), F.substring(F.sha2(arguments(F.col("args"), "offset", "limit"), 256), 1, 16)).alias("semantic_key"),
+        F.substring(F.sha2(F.concat_ws(":", "tool", args), 256), 1, 12).alias("result_key"), F.concat(F.col("tool"), F.lit(":"), F.substring(F.sha2("whole", 256), 1, 16)).alias("semantic_key"),
         T.family(F.col("tool")).alias("family"),
     )
 
