@@ -15,8 +15,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 
-# The format's version, the values its members may have, and which of them are no exact references or fall back.
-VERSION, UNCOMPUTED = "tok-trace/v0.1-draft", "draft-uncomputed"
+# The version that blocks are emitted with, a parameter where they are audited. What the other members may be.
+VERSION, UNCOMPUTED = "trace/v0.1", "draft-uncomputed"
 DIRECTIONS = ("request", "response", "internal")
 CLASSES = ("file", "search", "tool", "message", "system", "response")
 ACTIONS = ("pass_through", "store", "reference", "delta", "fallback", "skeleton_reference", "summary_reference")
@@ -70,7 +70,7 @@ def scanned(lines: DataFrame) -> DataFrame:
     return kept.select("source", "line_no", F.from_json(F.when(fault.isNull(), inner), SCHEMA).alias("b"), fault.alias("fault"))
 
 
-def _codes(b: Column) -> Column:
+def _codes(b: Column, version: str) -> Column:
     """The codes of a block's faults, in the order of its sections."""
     e, o, c, a = b["envelope"], b["observation"], b["content"], b["audit"]
     no = lambda x: ~F.coalesce(x, F.lit(False))
@@ -81,7 +81,7 @@ def _codes(b: Column) -> Column:
     expect, loose = lambda x: F.coalesce(a["expectation"] == x, F.lit(False)), o["action"].isin("skeleton_reference", "summary_reference")
     fallback = (o["action"] == "fallback") | o["result"].isin("degraded", "error", "rejected") | (a["resolver_state"] == "unresolvable_fallback_required")
     rules = {
-        "invalid_trace_version": no(e["trace_version"] == VERSION), "invalid_block_id": ~said(e["block_id"]), "invalid_session_id": ~said(e["session_id"]), "invalid_turn": no(e["turn"] >= 0), "invalid_step": no(e["step"] >= 0), "invalid_direction": no(e["direction"].isin(*DIRECTIONS)),
+        "invalid_trace_version": no(e["trace_version"] == version), "invalid_block_id": ~said(e["block_id"]), "invalid_session_id": ~said(e["session_id"]), "invalid_turn": no(e["turn"] >= 0), "invalid_step": no(e["step"] >= 0), "invalid_direction": no(e["direction"].isin(*DIRECTIONS)),
         "invalid_payload_digest": ~((F.coalesce(e["payload_digest"], F.lit("")) == UNCOMPUTED) | hashed(e["payload_digest"])), "invalid_class": no(o["class"].isin(*CLASSES)), "invalid_key": ~said(o["key"]), "invalid_action": no(o["action"].isin(*ACTIONS)), "invalid_result": no(o["result"].isin(*RESULTS)),
         "invalid_exact": exact.isNull(), "missing_or_invalid_content_identity": (exact | delta | local) & ~identity, "missing_or_invalid_base_hash": delta & ~hashed(c["base_hash"]), "missing_or_invalid_delta_hash": delta & ~hashed(c["delta_hash"]), "missing_or_invalid_delta_uri": delta & ~said(c["delta_uri"]),
         "missing_or_invalid_delta_algorithm": delta & no(c["delta_algorithm"].isin(*ALGORITHMS)), "non_exact_reference_marked_exact": loose & no(~exact), "invalid_resolver_state": no(a["resolver_state"].isin(*RESOLVERS)), "invalid_expectation": no(a["expectation"].isin(*EXPECTATIONS)),
@@ -93,7 +93,7 @@ def _codes(b: Column) -> Column:
     return F.when(F.size(sections) > 0, sections).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), code) for code, rule in rules.items()])))
 
 
-def audited(lines: DataFrame) -> DataFrame:
+def audited(lines: DataFrame, version: str = VERSION) -> DataFrame:
     """Each line's verdict and codes: fail over warn over pass; later blocks of one id, and those before their session's last place, fail too."""
     s = scanned(lines)
     e = F.col("b.envelope")
@@ -101,7 +101,7 @@ def audited(lines: DataFrame) -> DataFrame:
     s = s.withColumn("nth", F.when(e["block_id"].isNotNull(), F.row_number().over(W.partitionBy(e["block_id"]).orderBy("source", "line_no"))))
     ordered = e["session_id"].isNotNull() & e["turn"].isNotNull() & e["step"].isNotNull()
     s = s.withColumn("before", F.when(ordered, F.lag(at).over(W.partitionBy(e["session_id"], ordered).orderBy("source", "line_no"))))
-    codes = F.when(F.col("fault").isNotNull(), F.array("fault")).otherwise(_codes(F.col("b")))
+    codes = F.when(F.col("fault").isNotNull(), F.array("fault")).otherwise(_codes(F.col("b"), version))
     more = F.array_compact(F.array(F.when(F.col("nth") > 1, "duplicate_block_id"), F.when(at < F.col("before"), "out_of_order_trace_block")))
     a, digest = F.col("b.audit"), e["payload_digest"]
     warnings = F.array_compact(F.array(F.when(digest == UNCOMPUTED, "draft_payload_digest_uncomputed"), F.when(a["resolver_state"].isin(*RESOLVERS[2:]) | ((a["resolver_state"] == "resolvable_remote") & a["expectation"].isin("accept_reference", "accept_non_exact_reference", "accept_pass_through")), a["resolver_state"])))
