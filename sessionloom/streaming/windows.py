@@ -57,6 +57,7 @@ def drained(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    spark.createDataFrame([], kind).write.parquet(f"{out}/batch=-1")  # a stream without any batch gives no rows
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     rows = spark.read.schema(StructType([*kind.fields, StructField("batch", IntegerType())])).parquet(out)

@@ -41,6 +41,9 @@ def test_memory_of_late_turns(spark, tmp_path, rows):
     assert rows(got) == rows(memory.remembered(spark.createDataFrame(data, schema))) != []
     with pytest.raises(ValueError):
         windows.drained(stream, "update")
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema(schema).parquet(str(tmp_path / "none"))
+    assert windows.drained(empty).isEmpty() and windows.drained(memory.stream(empty), "update", ["session_id"]).isEmpty()
 
 
 def test_no_local_folder_on_a_cluster(spark):
