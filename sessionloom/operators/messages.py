@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from . import similar
 
 
 def messages(blocks: DataFrame) -> DataFrame:
@@ -98,28 +99,11 @@ def similar_texts(texts: DataFrame, least: float = 0.25, frequent: int = 64) ->
     """Pairs (key, left_id, right_id, similarity) of texts of one key with a Jaccard similarity of `least` or more.
 
     Inputs are (key, id, text), ids unique, pairs have left_id < right_id; tokens are maximal runs of a-z, 0-9, _ and /
-    in lower case. Tokens stand in order of rarity within the key. A pair is made at its first common token, at places
-    i and j of sets of a and b tokens, and so shares at most 1 + min(a - i, b - j): of a token that more than `frequent`
-    texts have, only entries that can still reach `least` with a partner's size meet, by that size. No pair is lost.
+    in lower case. A key of any size is matched part by part; `frequent` is the factor of `similar`. No pair is lost.
     """
     tokens = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9_/]+"), lambda w: w != ""))
     sets = texts.select("key", "id", tokens.alias("w")).filter("key is not null and size(w) > 0")
-    each = sets.select("key", "id", F.explode("w").alias("w"))
-    counts = each.groupBy("key", "w").agg(F.count("*").alias("n"))
-    ordered = each.join(counts, ["key", "w"]).groupBy("key", "id").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("e"))
-    entries = ordered.select("key", "id", F.col("e.w").alias("ws"), F.posexplode("e").alias("i", "e")).select("key", "id", "ws", F.size("ws").alias("size"), (F.size("ws") - F.col("i")).alias("left"), "e.n", "e.w").filter("n > 1")
-    # a partner of b tokens needs (a + b) * least / (1 + least) common ones, and from this place on `left` are left
-    share = least / (1 + least)
-    reach = lambda a, b, left: (left >= (a + b) * share - 1e-9) & (b >= a * least - 1e-9) & (a >= b * least - 1e-9)
-    sizes = ordered.groupBy("key").agg(F.collect_set(F.size("e")).alias("sizes"))
-    rare = entries.filter(F.col("n") <= frequent).withColumn("met", F.lit(-1))
-    often = entries.filter(F.col("n") > frequent)
-    asking = often.join(sizes, "key").withColumn("met", F.explode(F.filter("sizes", lambda b: reach(F.col("size"), b, F.col("left"))))).drop("sizes")
-    x = rare.unionByName(asking).select("key", "w", "met", F.col("id").alias("left_id"), F.col("ws").alias("wa"), F.col("size").alias("a"), F.col("left").alias("la"))
-    y = rare.unionByName(often.withColumn("met", F.col("size"))).select("key", "w", "met", F.col("id").alias("right_id"), F.col("ws").alias("wb"), F.col("size").alias("b"), F.col("left").alias("lb"))
-    met = x.join(y, ["key", "w", "met"]).filter((F.col("left_id") < F.col("right_id")) & reach(F.col("a"), F.col("b"), F.least("la", "lb")))
-    both = met.withColumn("both", F.array_intersect("wa", "wb")).filter(F.col("both")[0] == F.col("w")).withColumn("n", F.size("both"))
-    return both.select("key", "left_id", "right_id", (F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("similarity")).filter(F.col("similarity") >= least)
+    return similar.pairs(sets, least, frequent)
 
 
 def token_estimates(blocks: DataFrame) -> DataFrame:

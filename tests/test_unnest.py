@@ -132,3 +132,22 @@ def test_similar_texts_against_brute_force(spark, rows, frequent):
     want = [(k, i, j, len(a & b) / len(a | b)) for i, (k, a) in sets.items() for j, (m, b) in sets.items() if i < j and k == m and a and b and len(a & b) / len(a | b) >= 0.25]
     got = rows(messages.similar_texts(spark.createDataFrame(texts, "key string, id string, text string"), frequent=frequent))
     assert got == sorted(want, key=repr) and ("k", "n4", "n5", 1.0) in got
+
+
+@pytest.mark.parametrize("texts, words, frequent", [(16, 10_000, 64), (16, 10_000, 0), (1000, 60, 64), (1000, 60, 0)])
+def test_a_large_session_is_matched_part_by_part(spark, rows, monkeypatch, texts, words, frequent):
+    """Two words that all texts of a session share: each pair is found once, in a unit of at most two parts."""
+    from sessionloom.operators import similar
+
+    sets = {("hot", f"h{i:03}"): {"re", "run", f"a{i % 40}", f"b{i}"} for i in range(150)} | {(f"s{i % 9}", f"s{i:02}"): {"re", f"a{i % 3}"} for i in range(40)}
+    sets |= {("hot", f"l{i}"): {"re", *(f"c{k}" for k in range(10 * i))} for i in range(9)}
+    want = [(k, i, j, len(a & b) / len(a | b)) for (k, i), a in sets.items() for (m, j), b in sets.items() if k == m and i < j and len(a & b) / len(a | b) >= 0.25]
+    df = spark.createDataFrame([(k, i, sorted(w)) for (k, i), w in sets.items()], "key string, id string, w array<string>")
+    sizes, units = [], similar._units
+    monkeypatch.setattr(similar, "_units", lambda dealt, n: sizes.extend(r["count"] for r in dealt.filter("b >= 0").groupBy("owner", "a", "b").count().collect()) or units(dealt, n))
+    assert rows(similar.pairs(df, 0.25, frequent, texts, words)) == sorted(want, key=repr)
+    assert len(sizes) > 10 and max(sizes) < 100
+    monkeypatch.setattr(similar, "STEP", 50)
+    monkeypatch.setattr(similar, "ROWS", 7)
+    assert len(list(similar._matches(df.filter("key = 'hot'").selectExpr("*", "0 as side").toArrow(), 0.25, frequent))) > 9
+    assert sum(b.num_rows for b in similar._matches(df.selectExpr("*", "0 as side").toArrow(), 0.25, frequent)) == len(want)
