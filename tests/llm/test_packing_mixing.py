@@ -131,3 +131,44 @@ def test_short_sources_hold_nothing_up(spark, monkeypatch):
     assert sum(x.n_tokens * x.n_uses for x in again) > 1800 and len({(x.source, x.doc_id) for x in again}) == len(again)
     with pytest.raises(ValueError):
         mixing.mix(docs, targets.unionByName(spark.createDataFrame([("a", 0.1, 1, 0)], TARGETS)))
+
+
+def test_combinations_beyond_those_broadcast_keep_all_their_sources(spark, monkeypatch):
+    r = random.Random(4)
+    docs = [(i, s, f"k{i // 10}", 20 + i // 10 % 7, "x") for i in range(0, 3000, 10) for s in r.sample("abcdef", r.randint(1, 4))]
+    docs = spark.createDataFrame([(n, *d[1:]) for n, d in enumerate(docs)], DOCS)
+    targets = spark.createDataFrame([(s, 1 / 6, 2, 0) for s in "abcdef"], TARGETS)
+    mixed = lambda: sorted(tuple(x) for x in mixing.mix(docs, targets).collect())
+    want = mixed()
+    few = spark.createDataFrame([(i, "ab"[i % 2], f"k{i}", 100, "x") for i in range(100)] + [(200 + i, s, f"m{i % 9}", 30, "x") for i, s in enumerate("ab" * 9)] + [(400, "a", "z", 9, "x"), (401, "z", "z", 9, "x")], DOCS)
+    monkeypatch.setattr(mixing, "PATTERNS", 3)
+    # more targets and far more combinations than are broadcast
+    assert mixed() == want and len({x[0] for x in want}) == 6
+    # z's only text is in the rarest combination
+    got = mixing.mix(few, spark.createDataFrame([("a", 0.5, 1, 0), ("b", 0.49, 1, 0), ("z", 0.01, 1, 0)], TARGETS)).collect()
+    assert [(x.doc_id, x.n_uses) for x in got if x.source == "z"] == [(401, 1)]
+
+
+def test_flow_takes_any_number_of_combinations():
+    """Against the best of all ways to give each pattern's tokens to its sources."""
+    import itertools
+
+    r = random.Random(6)
+    for _ in range(30):
+        targets = {s: (1 / 3, r.randint(1, 2)) for s in "abc"}
+        tokens_ = {p: r.randint(1, 3) for p in (("a",), ("a", "b"), ("b", "c"), ("a", "b", "c")) if r.random() < 0.8}
+        quota, best = mixing.asked(targets, 9), (0, 0)
+        uses = {p: n * min(targets[s][1] for s in p) for p, n in tokens_.items()}
+        ways = [[w for w in itertools.product(range(4), repeat=len(p)) if sum(w) <= uses[p]] for p in tokens_]
+        for way in itertools.product(*ways):
+            got = dict.fromkeys("abc", 0)
+            for p, w in zip(tokens_, way):
+                for s, n in zip(p, w):
+                    got[s] += n
+            if all(got[s] <= quota[s] for s in got):
+                best = max(best, (sum(got.values()), -sum(max(0, sum(w) - n) for n, w in zip(tokens_.values(), way))))
+        sent, flow = mixing.route(tokens_, targets, 9)
+        used = defaultdict(int)
+        for (p, s), n in flow.items():
+            used[p] += n
+        assert (sent, -sum(max(0, n - tokens_[p]) for p, n in used.items())) == best
